@@ -1,0 +1,57 @@
+"""Looking the elements of an array up in a word list of checked size.
+
+The list is broadcast once, and each Arrow batch of all tokens in it is matched in one
+vectorised hash lookup; the rows stay where they are, so nothing is shuffled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.runtime import BROADCAST_ROWS
+
+
+def _same_shape(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """Put new element values into the lists they came from."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    missing = lists.is_null() if lists.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
+
+
+def _check(words: Sequence[str]) -> None:
+    if len(words) > BROADCAST_ROWS:
+        raise ValueError(f"{len(words)} words are too many to broadcast")
+
+
+def index_lookup(spark: SparkSession, words: Sequence[str]) -> Callable[[Column], Column]:
+    """`array<string>` to `array<int>`: the place of each element in `words`, else NULL."""
+    _check(words)
+    shared = spark.sparkContext.broadcast(pa.array(words, pa.string()))
+
+    @F.arrow_udf("array<int>")
+    def index(lists: pa.Array) -> pa.Array:
+        return _same_shape(lists, pc.index_in(lists.flatten().cast(pa.string()), shared.value))
+
+    return index
+
+
+def value_lookup(
+    spark: SparkSession, words: Sequence[str], values: Sequence[str]
+) -> Callable[[Column], Column]:
+    """`array<string>` to `array<string>`: the value that belongs to each element, else NULL."""
+    _check(words)
+    shared = spark.sparkContext.broadcast((pa.array(words, pa.string()), pa.array(values, pa.string())))
+
+    @F.arrow_udf("array<string>")
+    def value(lists: pa.Array) -> pa.Array:
+        keys, found = shared.value
+        return _same_shape(lists, found.take(pc.index_in(lists.flatten().cast(pa.string()), keys)))
+
+    return value
