@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import patterns as P
 
@@ -36,12 +37,12 @@ def decode_common_entities(c: Column) -> Column:
     return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES, c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape_each(lists: pd.Series) -> pd.Series:
     return lists.map(
         lambda items: [i if i is None else html.unescape(i) for i in items], na_action="ignore"

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.clean import CLEANERS, Cleaner, clean_sentences
-from wordloom.functions.lookup import value_lookup
 from wordloom.functions.stem import stem_each, stem_words
 from wordloom.functions.tagging import tag_sentence
 from wordloom.functions.tokens import keep_token, tokenize
 from wordloom.functions.wordlists import STOP_WORDS
+from wordloom.operators.lookup import match_elements
 from wordloom.runtime import BROADCAST_ROWS, fits, most_frequent
 
 SECTIONS = ("ingredients", "instructions")
@@ -113,32 +113,25 @@ def stem_streams(
     most frequent words, as many as may be broadcast, are looked up in place; words not
     found are stemmed by expression, so the result does not depend on the size of the table.
     """
-    if stems is not None:
-        bounded = most_frequent(stems) if "cnt" in stems.columns else stems.limit(BROADCAST_ROWS)
-        known = bounded.select("token", "stem").toArrow()
-        find = value_lookup(
-            df.sparkSession, known.column("token").to_pylist(), known.column("stem").to_pylist()
-        )
-
-    def stemmed(s: str) -> Column:
-        words = F.transform(F.col(s), lambda x: x["token"])
-        if stems is None:
-            return stem_each(words)
-        found = F.col(f"_{s}_found")
-        missing = F.zip_with(words, found, lambda w, f: F.when(f.isNull(), w))
-        any_missing = F.exists(missing, lambda w: w.isNotNull())
-        filled = F.zip_with(found, stem_each(missing), lambda f, m: F.coalesce(f, m))
-        return F.when(any_missing, filled).otherwise(found)
-
-    if stems is not None:
-        df = df.withColumns(
-            {f"_{s}_found": find(F.transform(F.col(s), lambda x: x["token"])) for s in sections}
-        )
+    words = {s: F.transform(F.col(s), lambda x: x["token"]) for s in sections}
+    if stems is None:
+        stemmed = {s: stem_each(words[s]) for s in sections}
+    else:
+        stemmed = {}
+        known = most_frequent(stems) if "cnt" in stems.columns else stems.limit(BROADCAST_ROWS)
+        known = known.select(F.col("token").alias("key"), F.col("stem").alias("value"))
+        for s in sections:
+            df = match_elements(df, words[s], known, f"_{s}_found")
+            found = F.col(f"_{s}_found")
+            missing = F.zip_with(words[s], found, lambda w, f: F.when(f.isNull(), w))
+            filled = F.zip_with(found, stem_each(missing), lambda f, m: F.coalesce(f, m))
+            any_missing = F.exists(missing, lambda w: w.isNotNull())
+            stemmed[s] = F.when(any_missing, filled).otherwise(found)
 
     def put(x: Column, stem: Column) -> Column:
         return F.when(x.isNotNull(), F.struct(stem.alias("token"), x["pos"].alias("pos")))
 
-    df = df.withColumns({s: F.zip_with(F.col(s), stemmed(s), put) for s in sections})
+    df = df.withColumns({s: F.zip_with(F.col(s), stemmed[s], put) for s in sections})
     return df.drop(*[f"_{s}_found" for s in sections])
 
 

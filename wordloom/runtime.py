@@ -40,15 +40,6 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_values(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[str] | None:
-    """Values of the single column of `df`, or None when there are more than `max_rows`.
-
-    One job reads at most `max_rows + 1` rows, so the driver never sees more.
-    """
-    rows = df.limit(max_rows + 1).toArrow().column(0)
-    return rows.to_pylist() if len(rows) <= max_rows else None
-
-
 def most_frequent(df: DataFrame, max_rows: int = BROADCAST_ROWS, count: str = "cnt") -> DataFrame:
     """The rows of `df` from some count upwards, as many as stay within `max_rows`.
 
