@@ -198,7 +198,7 @@ def _(spark, d):
     docs = D.split_tokens(D.clean_documents(sentences(spark, d), BODY), BODY)
     rows = docs.select(F.explode(F.flatten("body")).alias("word")).groupBy("word")
     counts = rows.agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.select("word", tag_word(F.col("word")).alias("tag"), "cnt")
+    return counts.select("word", tag_word("word").alias("tag"), "cnt")
 
 
 @register(
@@ -228,7 +228,8 @@ def _(spark, d):
         docs.select(F.lit(s).alias("section"), F.explode(F.flatten(s)).alias("word")) for s in D.SECTIONS
     ]
     counts = reduce(DataFrame.union, rows).groupBy("section", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.where(keep_token(F.col("word"), tag_word(F.col("word")), STOP_WORDS))
+    tagged = counts.withColumn("tag", tag_word("word"))
+    return tagged.where(keep_token("word", "tag", STOP_WORDS)).drop("tag")
 
 
 @register(
@@ -675,11 +676,11 @@ def _(spark, d):
     return ON.group_tokens(groups, vocab, model)
 
 
-_SIMILAR = """similar AS (
+_SIMILAR = """alike AS (
     SELECT DISTINCT a.token, b.token AS neighbour FROM members a JOIN members b USING (grp) WHERE a.token <> b.token)"""
 
 
-@register("similar_tokens", f"WITH {_LABELS}, {_SIMILAR} SELECT token, neighbour FROM similar")
+@register("similar_tokens", f"WITH {_LABELS}, {_SIMILAR} SELECT token, neighbour FROM alike")
 def _(spark, d):
     members = ON.group_tokens(*labels_and_vocab(spark, d))
     return ON.similar_tokens(members, members.select("token").distinct())

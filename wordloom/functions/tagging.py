@@ -8,6 +8,9 @@ from collections.abc import Callable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wordloom.functions.sql import case, lit, one_of
 
 # Closed word classes by Penn tag.
 LEXICON: dict[str, Sequence[str]] = {
@@ -43,42 +46,37 @@ SUFFIXES: tuple[tuple[str, str], ...] = (
 MARKS = {",": ",", ":": ":", ";": ":", "(": "(", ")": ")", ".": ".", "!": ".", "?": "."}
 
 
-def tag_word(
-    t: Column,
+def tag_sql(
+    t: str,
     lexicon: Mapping[str, Sequence[str]] = LEXICON,
     suffixes: Sequence[tuple[str, str]] = SUFFIXES,
     default: str = "NN",
-) -> Column:
-    """Tag of one token: marks, numbers, lexicon, suffix, default, in this order.
+) -> str:
+    """Tag of one token as SQL text: marks, numbers, lexicon, suffix, default, in this order.
 
     One cheap test in front of each group of rules lets most words pass it at once.
     """
-    other = F.when(t.rlike(r"\p{N}"), "CD")
-    for mark, name in MARKS.items():
-        other = other.when(t == mark, name)
-    other = other.when(t.rlike(r"\A[^\p{L}\p{N}]+\z"), "SYM")
-
-    listed = F.lit(None).cast("string")
-    for name, words in reversed(lexicon.items()):
-        listed = F.when(t.isin(*words), name).otherwise(listed)
-    every = {w for words in lexicon.values() for w in words}
+    marks = [(f"{t} = {lit(mark)}", lit(name)) for mark, name in MARKS.items()]
+    number = (f"{t} RLIKE {lit(r'\p{N}')}", "'CD'")
+    symbol = (f"{t} RLIKE {lit(r'\A[^\p{L}\p{N}]+\z')}", "'SYM'")
+    special = case([*marks, number, symbol], "NULL")
+    listed = case([(one_of(t, words), lit(name)) for name, words in lexicon.items()], "NULL")
+    every = {w: None for words in lexicon.values() for w in words}
 
-    by_last: dict[str, Column] = {}
-    for suffix, name in reversed(suffixes):
-        fits = t.endswith(suffix) & (F.length(t) > len(suffix) + 1)
-        rest = by_last.get(suffix[-1], F.lit(default))
-        by_last[suffix[-1]] = F.when(fits, name).otherwise(rest)
-    ending = F.lit(default)
-    for last, rule in by_last.items():
-        ending = F.when(t.endswith(last), rule).otherwise(ending)
+    by_last: dict[str, list[tuple[str, str]]] = {}
+    for suffix, name in suffixes:
+        fits = f"endswith({t}, {lit(suffix)}) AND length({t}) > {len(suffix) + 1}"
+        by_last.setdefault(suffix[-1], []).append((fits, lit(name)))
+    endings = [(f"endswith({t}, {lit(x)})", case(rules, lit(default))) for x, rules in by_last.items()]
 
-    special = F.when(~t.rlike(r"\A\p{L}+\z"), other)
-    return F.when(t.isNotNull(), F.coalesce(special, F.when(t.isin(*every), listed), ending))
+    special = case([(f"NOT {t} RLIKE {lit(r'\A\p{L}+\z')}", special)], "NULL")
+    listed = case([(one_of(t, every), listed)], "NULL")
+    return case([(f"{t} IS NOT NULL", f"coalesce({special}, {listed}, {case(endings, lit(default))})")], "NULL")
 
 
-def tag_sentence(tokens: Column, **rules) -> Column:
-    """`array<string>` to an array of tags of the same length, by the rules above."""
-    return F.transform(tokens, lambda t: tag_word(t, **rules))
+def tag_word(t: str, **rules) -> Column:
+    """Tag of one token, given as SQL text, such as the name of a column."""
+    return F.expr(tag_sql(t, **rules))
 
 
 def sentence_tagger(tag: Callable[[list[str]], list[str]]) -> Callable[[Column], Column]:
@@ -88,7 +86,7 @@ def sentence_tagger(tag: Callable[[list[str]], list[str]]) -> Callable[[Column],
     travel in Arrow batches.
     """
 
-    @F.pandas_udf("array<array<string>>")
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def tags(sections: pd.Series) -> pd.Series:
         return sections.map(
             lambda sentences: [list(tag(list(tokens))) for tokens in sentences],

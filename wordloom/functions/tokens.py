@@ -1,4 +1,4 @@
-"""Tokenising and the token tests (T1, F4a-F4g, X1)."""
+"""Tokenising and the token tests (T1, F4a-F4g)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.sql import lit, one_of
 
 # Penn tags of the word classes that are kept.
 KEPT_TAGS = (
@@ -35,32 +36,27 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.flatten(split), lambda t: t != "")
 
 
-def is_numeric(t: Column) -> Column:
-    """Digits and other numeric characters only."""
-    return t.rlike(P.ONLY_NUMERIC)
-
-
-def is_space(t: Column) -> Column:
-    """White space only."""
-    return t.rlike(P.ONLY_SPACE)
-
-
-def is_punctuation(t: Column) -> Column:
-    """F4d: a piece of the ASCII punctuation string (so `()` is, `&&` is not)."""
-    return F.instr(F.lit(P.PUNCTUATION), t) > 0
+def plain_sql(t: str) -> str:
+    """F4b-F4d: not numeric, not white space, not punctuation.
 
+    Punctuation is a piece of the ASCII punctuation string, so `()` is, `&&` is not.
+    """
+    return (
+        f"NOT {t} RLIKE {lit(P.ONLY_NUMERIC)} AND NOT {t} RLIKE {lit(P.ONLY_SPACE)} "
+        f"AND instr({lit(P.PUNCTUATION)}, {t}) = 0"
+    )
 
-def kept_tag(t: Column, tag: Column) -> Column:
-    """An open word class, or a percentage."""
-    return tag.isin(*KEPT_TAGS) | t.endswith("%")
 
+def keep_sql(t: str, tag: str, stop_words: Sequence[str]) -> str:
+    """every test a token must pass, as SQL text.
 
-def plain_word(t: Column) -> Column:
-    """F4b-F4d: not numeric, not white space, not punctuation."""
-    return ~is_numeric(t) & ~is_space(t) & ~is_punctuation(t)
+    F4a: an open word class, or a percentage.  F4e: `stop_words` is compared as given.
+    F4f: two characters at least.  F4g: no `=`.
+    """
+    kept = f"({one_of(tag, KEPT_TAGS)} OR endswith({t}, '%')) AND length({t}) > 1"
+    return f"{kept} AND NOT contains({t}, '=') AND NOT {one_of(t, stop_words)} AND {plain_sql(t)}"
 
 
-def keep_token(t: Column, tag: Column, stop_words: Sequence[str]) -> Column:
-    """every test a token must pass.  `stop_words` is compared as given (F4e)."""
-    kept = kept_tag(t, tag) & (F.length(t) > 1) & ~t.contains("=") & plain_word(t)
-    return kept & ~t.isin(*stop_words) if stop_words else kept
+def keep_token(t: str, tag: str, stop_words: Sequence[str]) -> Column:
+    """F4 for columns that are given as SQL text."""
+    return F.expr(keep_sql(t, tag, stop_words))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.clean import CLEANERS, Cleaner, clean_sentences
 from wordloom.functions.stem import stem_each, stem_words
-from wordloom.functions.tagging import tag_sentence
-from wordloom.functions.tokens import keep_token, tokenize
+from wordloom.functions.tagging import tag_sql
+from wordloom.functions.tokens import keep_sql, tokenize
 from wordloom.functions.wordlists import STOP_WORDS
 from wordloom.operators.lookup import match_elements
 from wordloom.runtime import BROADCAST_ROWS, fits, most_frequent
@@ -56,11 +56,6 @@ def split_tokens(df: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame
     return df.withColumns({s: split(F.col(s)) for s in sections})
 
 
-def _filtered(tokens: Column, tags: Column, stop_words: Sequence[str]) -> Column:
-    pairs = F.zip_with(tokens, tags, lambda t, p: F.struct(t.alias("token"), p.alias("pos")))
-    return F.transform(pairs, lambda x: F.when(keep_token(x["token"], x["pos"], stop_words), x))
-
-
 def filter_tokens(
     df: DataFrame,
     sections: Sequence[str] = SECTIONS,
@@ -72,16 +67,17 @@ def filter_tokens(
     `tagger` maps all sentences of a section to their tags; by default the tags come from
     lexicon and suffix rules.
     """
+    keep = f"CASE WHEN {keep_sql('x.token', 'x.pos', stop_words)} THEN x END"
     if tagger is None:
-        filtered = lambda s: F.transform(
-            F.col(s), lambda t: _filtered(t, tag_sentence(t), stop_words)
-        )
+        tagged = "transform(s, t -> named_struct('token', t, 'pos', {}))".format(tag_sql("t"))
+        filtered = {s: f"transform({s}, s -> transform({tagged}, x -> {keep}))" for s in sections}
     else:
         df = df.withColumns({f"_{s}_tags": tagger(F.col(s)) for s in sections})
-        filtered = lambda s: F.zip_with(
-            F.col(s), F.col(f"_{s}_tags"), lambda t, p: _filtered(t, p, stop_words)
-        )
-    df = df.withColumns({s: filtered(s) for s in sections})
+        tagged = "zip_with(s, tags, (t, p) -> named_struct('token', t, 'pos', p))"
+        filtered = {
+            s: f"zip_with({s}, _{s}_tags, (s, tags) -> transform({tagged}, x -> {keep}))" for s in sections
+        }
+    df = df.withColumns({s: F.expr(text) for s, text in filtered.items()})
     return df.drop(*[f"_{s}_tags" for s in sections])
 
 
@@ -113,7 +109,7 @@ def stem_streams(
     most frequent words, as many as may be broadcast, are looked up in place; words not
     found are stemmed by expression, so the result does not depend on the size of the table.
     """
-    words = {s: F.transform(F.col(s), lambda x: x["token"]) for s in sections}
+    words = {s: f"transform({s}, x -> x.token)" for s in sections}
     if stems is None:
         stemmed = {s: stem_each(words[s]) for s in sections}
     else:
@@ -121,12 +117,11 @@ def stem_streams(
         known = most_frequent(stems) if "cnt" in stems.columns else stems.limit(BROADCAST_ROWS)
         known = known.select(F.col("token").alias("key"), F.col("stem").alias("value"))
         for s in sections:
-            df = match_elements(df, words[s], known, f"_{s}_found")
-            found = F.col(f"_{s}_found")
-            missing = F.zip_with(words[s], found, lambda w, f: F.when(f.isNull(), w))
-            filled = F.zip_with(found, stem_each(missing), lambda f, m: F.coalesce(f, m))
-            any_missing = F.exists(missing, lambda w: w.isNotNull())
-            stemmed[s] = F.when(any_missing, filled).otherwise(found)
+            df = match_elements(df, F.expr(words[s]), known, f"_{s}_found")
+            missing = f"zip_with({words[s]}, _{s}_found, (w, f) -> CASE WHEN f IS NULL THEN w END)"
+            any_missing = F.expr(f"exists({missing}, w -> w IS NOT NULL)")
+            filled = F.zip_with(f"_{s}_found", stem_each(missing), lambda f, m: F.coalesce(f, m))
+            stemmed[s] = F.when(any_missing, filled).otherwise(F.col(f"_{s}_found"))
 
     def put(x: Column, stem: Column) -> Column:
         return F.when(x.isNotNull(), F.struct(stem.alias("token"), x["pos"].alias("pos")))

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.sql import one_of
 from wordloom.functions.stem import stem_each
-from wordloom.functions.tokens import plain_word, tokenize
+from wordloom.functions.tokens import plain_sql, tokenize
 from wordloom.functions.wordlists import MORE_STOP_WORDS, STOP_WORDS
 from wordloom.operators.bigrams import join_bigrams
 from wordloom.operators.lookup import match_elements
@@ -99,8 +100,9 @@ def label_tokens(
     `vocab` has a column `token`.  Numbers, white space, punctuation and stop words (as
     given, in this case) are left out.  The order of the words is kept.
     """
-    words = F.filter(tokenize(F.col(column)), lambda t: plain_word(t) & ~t.isin(*stop_words))
-    stems = labels.withColumn("_stems", stem_each(words))
+    kept = F.expr(f"filter(_words, t -> {plain_sql('t')} AND NOT {one_of('t', stop_words)})")
+    words = labels.withColumn("_words", tokenize(F.col(column))).withColumn("_words", kept)
+    stems = words.withColumn("_stems", stem_each("_words")).drop("_words")
     table = vocab.select(F.col("token").alias("key"), F.col("token").alias("value")).distinct()
     found = match_elements(stems, F.col("_stems"), table, "tokens", max_rows)
     return found.withColumn("tokens", F.array_compact("tokens")).drop("_stems")
