@@ -145,14 +145,13 @@ def _(spark, d):
 
 @register(
     "clean_sentences",
-    f"""SELECT doc_id, string_agg({O.clean('sentence')}, '|' ORDER BY sent) AS text, count(*) AS n
-    FROM ({O.DOCUMENT_SENTENCES}) WHERE sentence <> '' GROUP BY doc_id""",
+    f"""SELECT doc_id, coalesce(string_agg({O.clean('sentence')}, '|' ORDER BY sent) FILTER (sentence <> ''), '') AS text,
+           count(*) FILTER (sentence <> '') AS n
+    FROM ({O.DOCUMENT_SENTENCES}) GROUP BY doc_id""",
 )
 def _(spark, d):
     docs = D.clean_documents(sentences(spark, d), BODY)
-    return docs.where(F.size("body") > 0).select(
-        "doc_id", F.array_join("body", "|").alias("text"), F.size("body").cast("long").alias("n")
-    )
+    return docs.select("doc_id", F.array_join("body", "|").alias("text"), F.size("body").cast("long").alias("n"))
 
 
 @register(
@@ -205,14 +204,15 @@ def _(spark, d):
     "keep_tokens",
     f"""WITH {O.words(O.DOCUMENT_SENTENCES)},
     marked AS (SELECT *, {O.kept('word', 'tag')} AND word NOT IN ({O.qs(STOP_WORDS)}) AS ok FROM tok)
-    SELECT doc_id, string_agg(CASE WHEN ok THEN word || '/' || tag ELSE '-' END, ' ' ORDER BY sent, pos) AS tokens
-    FROM marked GROUP BY doc_id""",
+    SELECT doc_id, coalesce(string_agg(CASE WHEN ok THEN word || '/' || tag ELSE '-' END, ' ' ORDER BY sent, pos)
+                            FILTER (word IS NOT NULL), '') AS tokens
+    FROM documents LEFT JOIN marked USING (doc_id) GROUP BY doc_id""",
 )
 def _(spark, d):
     docs = D.split_tokens(D.clean_documents(sentences(spark, d), BODY), BODY)
     docs = D.filter_tokens(docs, BODY, STOP_WORDS)
     mark = lambda x: F.coalesce(F.concat(x["token"], F.lit("/"), x["pos"]), F.lit("-"))
-    shown = docs.where(F.size("body") > 0).select("doc_id", F.transform(F.flatten("body"), mark).alias("x"))
+    shown = docs.select("doc_id", F.transform(F.flatten("body"), mark).alias("x"))
     return shown.select("doc_id", F.array_join("x", " ").alias("tokens"))
 
 
@@ -285,12 +285,13 @@ def _(spark, d):
 @register(
     "join_bigrams",
     f"""WITH {O.streams(O.DOCUMENT_SENTENCES)}, {O.bigrams('body', O.SHARE.format(SHARE))}, {O.JOINED}
-    SELECT doc_id, {O.LINE} AS tokens FROM joined GROUP BY doc_id""",
+    SELECT doc_id, coalesce({O.LINE}, '') AS tokens
+    FROM documents LEFT JOIN joined USING (doc_id) GROUP BY doc_id""",
 )
 def _(spark, d):
     streams = PL.preprocess(sentences(spark, d), BODY)
     model = B.extract_bigrams(streams, SHARE, BODY)
-    docs = B.corpus_with_bigrams(streams, model, BODY, keep_plain=False).where(F.size("tokens") > 0)
+    docs = B.corpus_with_bigrams(streams, model, BODY, keep_plain=False)
     return docs.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -686,16 +687,20 @@ def _(spark, d):
     return ON.similar_tokens(members, members.select("token").distinct())
 
 
+# customers of the same nation (large groups) and customers who ordered the same part (small ones)
 @register(
-    "count_similar_tokens",
-    """WITH members AS (SELECT DISTINCT o_custkey AS token, l_partkey AS grp FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-    SELECT a.token, count(DISTINCT b.token) AS n FROM members a JOIN members b USING (grp)
-    WHERE a.token <> b.token GROUP BY a.token
-    UNION ALL
-    SELECT token, 0 FROM members GROUP BY token
-    HAVING token NOT IN (SELECT a.token FROM members a JOIN members b USING (grp) WHERE a.token <> b.token)""",
+    "count_neighbours",
+    """WITH members AS (
+        SELECT DISTINCT o_custkey AS token, 'p' || l_partkey AS grp FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+        UNION SELECT c_custkey, 'n' || c_nationkey FROM customer),
+    pairs AS (SELECT DISTINCT a.token, b.token AS neighbour FROM members a JOIN members b USING (grp))
+    SELECT token, count(*) - 1 AS n FROM pairs GROUP BY token""",
 )
 def _(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("token"))
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("grp"))
-    return ON.count_similar_tokens(orders.join(items, "k").select("grp", "token"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey"))
+    by_part = orders.join(items, "k").select(F.concat(F.lit("p"), "l_partkey").alias("grp"), "token")
+    by_nation = table(spark, d, "customer").select(
+        F.concat(F.lit("n"), "c_nationkey").alias("grp"), F.col("c_custkey").alias("token")
+    )
+    return R.count_neighbours(by_part.unionByName(by_nation))

@@ -115,7 +115,8 @@ def group_tokens(
 
     With a bigram model, U2: the joined tokens as well as the plain ones.  All tokens of a
     group are similar to one another; this table holds that relation in full, in space
-    linear in the groups, and `similar_tokens` opens it up for the words that are asked.
+    linear in the groups.  Retrofitting takes it as it is, and `similar_tokens` opens it
+    up for the words that are asked.
     """
     tokens = label_tokens(groups, vocab, "member", **options)
     if bigrams is not None:
@@ -131,16 +132,3 @@ def similar_tokens(members: DataFrame, words: DataFrame) -> DataFrame:
     others = members.select("grp", F.col("token").alias("neighbour"))
     pairs = asked.select("grp", "token").join(others, "grp").where("token <> neighbour")
     return pairs.select("token", "neighbour").distinct()
-
-
-def count_similar_tokens(members: DataFrame) -> DataFrame:
-    """`(token, n)`: how many similar tokens each token has, without opening the groups up.
-
-    Words in exactly the same groups are counted together (see `group_atoms`).
-    """
-    from wordloom.operators.retrofit import group_atoms
-
-    atoms, links = group_atoms(members)
-    sizes = atoms.groupBy(F.col("atom").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    around = links.join(sizes, "other").groupBy("atom").agg(F.sum("n").alias("n"))
-    return atoms.join(around, "atom").select("token", (F.col("n") - 1).alias("n"))
