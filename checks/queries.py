@@ -84,7 +84,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocab15(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = text_tokens(spark, d)
+    # read twice: to count the words and to number them
+    docs = text_tokens(spark, d).persist()
     return docs, CO.vocabulary(docs, min_count=15)
 
 
@@ -195,7 +196,7 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = D.split_tokens(D.clean_documents(sentences(spark, d), BODY), BODY)
-    rows = docs.select(F.explode(F.flatten("body")).alias("word")).groupBy("word")
+    rows = D.explode_words(docs, F.flatten("body"), "word").groupBy("word")
     counts = rows.agg(F.count(F.lit(1)).alias("cnt"))
     return counts.select("word", tag_word("word").alias("tag"), "cnt")
 
@@ -225,7 +226,7 @@ def _(spark, d):
 def _(spark, d):
     docs = D.split_tokens(D.clean_documents(turns(spark, d)))
     rows = [
-        docs.select(F.lit(s).alias("section"), F.explode(F.flatten(s)).alias("word")) for s in D.SECTIONS
+        D.explode_words(docs, F.flatten(s), "word").withColumn("section", F.lit(s)) for s in D.SECTIONS
     ]
     counts = reduce(DataFrame.union, rows).groupBy("section", "word").agg(F.count(F.lit(1)).alias("cnt"))
     tagged = counts.withColumn("tag", tag_word("word"))
@@ -239,7 +240,7 @@ def _(spark, d):
     "SELECT token, cnt, stem FROM stems JOIN n USING (token)",
 )
 def _(spark, d):
-    return stem_vocabulary(text_tokens(spark, d).select(F.explode("tokens").alias("token")))
+    return stem_vocabulary(D.explode_words(text_tokens(spark, d), F.col("tokens"), "token"))
 
 
 # --- bigrams --------------------------------------------------------------------------------

@@ -94,10 +94,19 @@ def token_streams(df: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFram
     return df.withColumns({s: section_stream(F.col(s)) for s in sections})
 
 
+def explode_words(df: DataFrame, words: Column, name: str) -> DataFrame:
+    """One row for each element of an array of words.
+
+    `explode` lets the optimizer put a test of the array in front, which would work out
+    the array once more for each test; the outer form with a test behind it does not.
+    """
+    return df.select(F.explode_outer(words).alias(name)).where(F.col(name).isNotNull())
+
+
 def kept_words(df: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
     """The kept tokens of all streams, one row each, in a column `token`."""
     words = F.array_compact(F.concat(*[F.transform(F.col(s), lambda x: x["token"]) for s in sections]))
-    return df.select(F.explode(words).alias("token"))
+    return explode_words(df, words, "token")
 
 
 def stem_streams(

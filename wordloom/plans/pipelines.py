@@ -57,7 +57,8 @@ def preprocess(
     tokens = split_tokens(clean_documents(documents, sections), sections)
     streams = token_streams(filter_tokens(tokens, sections, stop_words, tagger), sections)
     streams = streams.select("doc_id", *sections).persist(StorageLevel.MEMORY_AND_DISK)
-    return stem_streams(streams, sections, stem_vocabulary(kept_words(streams, sections)))
+    stems = checkpoint(stem_vocabulary(kept_words(streams, sections)))
+    return stem_streams(streams, sections, stems)
 
 
 def build_bigrams(
