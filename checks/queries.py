@@ -23,7 +23,7 @@ from wordloom.operators import glove as G
 from wordloom.operators import ontology as ON
 from wordloom.operators import retrofit as R
 from wordloom.plans import pipelines as PL
-from wordloom.runtime import spread, table
+from wordloom.runtime import checkpoint, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,7 +413,7 @@ def _(spark, d):
 
 @register("train_glove")
 def _(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = checkpoint(_pairs(spark, d))
     params = G.train_glove(pairs, dim=8, iterations=3, seed=1)
     return params.select("word_id", V.combine(F.col("vec"), F.col("context_vec")).alias("vec"))
 

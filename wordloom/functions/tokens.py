@@ -41,10 +41,7 @@ def plain_sql(t: str) -> str:
 
     Punctuation is a piece of the ASCII punctuation string, so `()` is, `&&` is not.
     """
-    return (
-        f"NOT {t} RLIKE {lit(P.ONLY_NUMERIC)} AND NOT {t} RLIKE {lit(P.ONLY_SPACE)} "
-        f"AND instr({lit(P.PUNCTUATION)}, {t}) = 0"
-    )
+    return f"NOT {t} RLIKE {lit(f'{P.ONLY_NUMERIC}|{P.ONLY_SPACE}')} AND instr({lit(P.PUNCTUATION)}, {t}) = 0"
 
 
 def keep_sql(t: str, tag: str, stop_words: Sequence[str]) -> str:
