@@ -95,12 +95,10 @@ def tag(t: str) -> str:
     whens.append(f"WHEN regexp_matches({t}, '\\p{{N}}') THEN 'CD'")
     whens.append(f"WHEN regexp_matches({t}, '\\A[^\\p{{L}}\\p{{N}}]+\\z') THEN 'SYM'")
     whens += [f"WHEN {t} IN ({qs(ws)}) THEN {q(name)}" for name, ws in tagging.LEXICON.items()]
-    letters = f"regexp_matches({t}, '\\A\\p{{L}}+\\z')"
     whens += [
         f"WHEN ends_with({t}, {q(x)}) AND length({t}) > {len(x) + 1} THEN {q(name)}"
         for x, name in tagging.SUFFIXES
     ]
-    del letters
     return f"CASE {' '.join(whens)} ELSE 'NN' END"
 
 
