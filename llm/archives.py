@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch, shared_folder
+from llm.scratch import Scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed when its records have so many bytes.
@@ -97,7 +97,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, top = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top)
         name, number = f"part-{context.partitionId():06d}", 0
         trial = f"trial-{context.taskAttemptId()}"
@@ -216,7 +216,7 @@ def read_index(paths: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) ->
     """`(path, start, lengths)`: ranges of neighbouring records in the packages, from their indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = pafs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else pafs.LocalFileSystem()
+        fs = pafs.FileSystem.from_uri(folder)[0]
         for batch in batches:
             rows = []
             for path in batch.column("path").to_pylist():
@@ -253,7 +253,7 @@ def read_records(ranges: DataFrame, folder: str) -> DataFrame:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = pafs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else pafs.LocalFileSystem()
+        fs = pafs.FileSystem.from_uri(folder)[0]
         for batch in batches:
             for path, start, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths"))):
                 with fs.open_input_file(path) as file:

@@ -91,12 +91,10 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, limit: flo
     `sizes (source, size, n)` has the number of documents of each size.  A source whose target is
     `limit` times its words gets an infinite multiplier, all its documents at the limit.
     """
-    words = sizes.where("size > 0").groupBy("source").agg(
+    words = sizes.where("size > 0").groupBy(F.col("source").alias("s")).agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least")
     )
-    state = goals.join(words, F.col("source").eqNullSafe(words["source"]), "left").drop(words["source"]).select(
-        "source", "words", "target", "mean", "least"
-    )
+    state = goals.join(words, F.col("source").eqNullSafe(F.col("s")), "left")
     top = F.log(F.lit(limit)) * F.col("mean") / F.col("least")  # here every rate is at the limit
     full = (F.col("target") >= F.col("words") * limit * (1 - 1e-12)) | (F.col("words") == 0)
     state = state.select(
@@ -156,6 +154,7 @@ def mix(
     scratch = Scratch(docs.sparkSession, "balance")
     keep = [c for c in docs.columns if c not in RESULTS]
     docs = docs.withColumn("size", count_words(F.col(text)) if size is None else size).select(*keep, "size")
+    # Sums of floats differ in their last digits from run to run; the multipliers are rounded beyond that.
     slim = scratch.save(docs.select(F.col(source).alias("source"), "size").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     totals = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     goals = targets(totals, scratch, weights, limit)
@@ -166,7 +165,7 @@ def mix(
         F.col("words").alias("source_size"),
         F.col("target").alias("target"),
         F.col("mean").alias("_mean"),
-        F.when(~F.col("full"), F.col("lam")).alias("_lam"),
+        F.when(~F.col("full"), F.round("lam", 9)).alias("_lam"),
         F.greatest(F.lit(1), F.ceil(F.col("n") / stratum)).alias("_runs"),
     )
     state = scratch.save(state, "rates")

@@ -9,10 +9,10 @@ similarity.  `rows` bins in a row make a band; texts that share a band share a b
 other one.  Every pair is confirmed on the full sets, and components are formed.  A bucket
 whose texts are then in one component is done.  In the others, stars with other centres follow
 (drawn by hash in each bucket), over pairs of different components only.  What is still open
-after `rounds` is settled exactly: pairs of different components in a bucket, except where the
-triangle inequality for 1 - similarity and the known distances to the centre, or the sizes of
-the sets, rule out a link.  So no link that a bucket holds is lost, and a group of copies is never
-paired with itself.
+after `rounds` is settled exactly by prefixes: shingles are ordered from the rarest on, and two sets
+that are similar enough share one of the first n - ceil(n * percent / 100) + 1 of their shingles;
+pairs of different components that do so, and whose sizes allow a link, are confirmed like the others.
+So no link that a bucket holds is lost, and a group of copies is never paired with itself.
 
 Texts with the same set of shingles are one class, with one sketch; its members are not expanded.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.components import components
@@ -177,13 +177,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return best.select("a", "b", "x.inter", "x.total", (F.lit(100) * F.col("x.inter") >= percent * F.col("x.total")).alias("linked"))
 
 
+def rare_pairs(nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """`(a, b)`, pairs of `nodes (id, comp, text)` of different components that share a rare shingle.
+
+    Holds every pair that is `percent` similar or more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in pieces(batch.column("text")):
+                hashes, at = shingle_sets(data, offsets, width)
+                size = np.diff(at)
+                owner = pa.array(np.repeat(np.arange(i, j), size))
+                columns = [batch.column(c).take(owner) for c in ("id", "which", "comp")]
+                columns += [pa.array(np.repeat(size, size), pa.int64()), pa.array(hashes.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "which", "comp", "n", "shingle"])
+
+    nodes = nodes.select("id", F.xxhash64("text").alias("which"), "comp", "text")
+    sets = nodes.mapInArrow(run, "id long, which long, comp long, n long, shingle long")
+    often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one text only cannot be shared; they come first and use up places of the prefix.
+    shared = sets.join(often, "shingle").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id", "which")))
+    place = F.row_number().over(Window.partitionBy("id", "which").orderBy("df", "shingle")) + F.col("n") - F.col("shared")
+    prefix = shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    # At the first shingle that two sets share, no more than the shorter rest can follow.
+    one, two = prefix.select("shingle", "id", "comp", "n", "place"), prefix.selectExpr("shingle", "id b", "comp cb", "n nb", "place pb")
+    most = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) + 1
+    enough = most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
+    pairs = one.join(two, "shingle").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & enough)
+    return pairs.select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 80,
     width: int = WIDTH,
     bins: int = BINS,
     rows: int = ROWS,
-    rounds: int = 3,
+    rounds: int = 2,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -216,7 +247,10 @@ def near_duplicates(
     sizes = members.groupBy("node").agg(F.min("n").alias("n"))
     first = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
     first = first.distinct().join(sizes.toDF("a", "na"), "a").where(fits("na", "nb"))
-    tried = settle(first.select("a", "b").distinct(), "tried-0")
+    first = scratch.save(first.select("a", "b").distinct(), "first")
+    # Texts that share a bucket with others, read by all rounds.
+    texts = scratch.save(texts.join(members.select(F.col("node").alias("id")).distinct(), "id").distinct(), "texts")
+    tried = settle(first, "tried-0")
     near = tried
     comps = components(tried.where("linked"), scratch, "stars-0")
 
@@ -227,28 +261,20 @@ def near_duplicates(
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         return scratch.save(now.join(mixed.select("bucket"), "bucket"), name)
 
-    # How far each member is from the first centre of its bucket, where that was measured.
-    away = near.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("away"))
-    left = unsettled(members.join(away, ["centre", "node"], "left"), comps, "open-0")
+    left = unsettled(members.select("bucket", "node", "n"), comps, "open-0")
     for turn in range(1, rounds + 2):
         if left.isEmpty():
             break
-        side = left.select("bucket", "node", "n", "comp", "away")
         if turn <= rounds:
             rank = F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node", "n", "comp")
-            other = side.groupBy("bucket").agg(F.min(rank).alias("c"))
-            other = other.selectExpr("bucket", "c.node a", "c.n na", "c.comp ca")
-            pairs = side.join(other, "bucket").where(F.col("comp") != F.col("ca")).where(fits("n", "na"))
+            other = left.groupBy("bucket").agg(F.min(rank).alias("c")).selectExpr("bucket", "c.node a", "c.n na", "c.comp ca")
+            pairs = left.join(other, "bucket").where(F.col("comp") != F.col("ca")).where(fits("n", "na"))
+            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         else:
-            other = side.toDF("same", "a", "na", "ca", "away_a")
-            apart = (F.col("away") - F.col("away_a")) * 100
-            reach = F.coalesce(F.abs(apart) <= 100 - percent + 1e-9, F.lit(True))
-            differ = (F.col("node") > F.col("a")) & (F.col("comp") != F.col("ca")) & fits("n", "na") & reach
-            pairs = side.join(other, (F.col("bucket") == F.col("same")) & differ)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tried = settle(pairs.join(known, ["a", "b"], "left_anti"), f"tried-{turn}")
-        near = near.union(tried)
+            nodes = left.select("node", "comp").distinct()
+            pairs = rare_pairs(texts.join(nodes.withColumnRenamed("node", "id"), "id"), width, percent)
+        tried = settle(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), f"tried-{turn}")
+        near = scratch.save(near.union(tried), f"near-{turn}")
         comps = components(near.where("linked"), scratch, f"stars-{turn}")
         if turn <= rounds:
             left = unsettled(left, comps, f"open-{turn}")

@@ -5,13 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import minhash, repeats
+from llm import archives, balance, convnet, lattice, minhash, repeats, replytrees, resampling, rules, wumanber
+
+from llm.scratch import Scratch
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of documents that lie in ten-word windows of benchmark items."""
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    out = wumanber.decontaminate(docs, _read(spark, folder, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op2_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as WARC records in ZIP packages, read back by range."""
+    paths, place = archives.package_pages(_read(spark, folder, "pages"))
+    return archives.read_packages(paths, place).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of the strict policy."""
+    book = rules.ledger(_read(spark, folder, "documents").select("doc_id", "text"))
+    return book.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (F.col("failed_bits").bitwiseAND(F.lit(rules.BASE)) != 0).alias("base_failed"),
+        rules.passes(rules.STRICT).alias("kept"),
+        "failed_bits",
+    )
+
+
+def op4_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations formatted as reply paths, and read back from the formatted strings."""
+    rows = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    out = replytrees.read_back(replytrees.format_conversations(replytrees.thread(rows.unionByName(more))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every byte that a 100-byte string covers which also starts earlier is removed."""
     docs = _read(spark, folder, "documents").select("doc_id", "text")
@@ -36,14 +96,56 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Marginal probabilities of texts over all segmentations into subwords."""
+    return lattice.score(_read(spark, folder, "documents"), _remainder(5) == 1)
+
+
+def op7_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """As many documents as labels call good, drawn by their likeness to those."""
+    docs, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
+    good = labels.where("quality = 1").select("doc_id")
+    return resampling.resample(docs, good, k=round(share * docs.count()))
+
+
+def op8_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of documents so that sources meet their target weights."""
+    docs = _read(spark, folder, "documents").select("doc_id", "source", balance.count_words(F.col("text")).alias("words"))
+    docs = Scratch(spark, "op8").save(docs, "words")
+    out = balance.mix(docs, size=F.col("words"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op9_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of whole texts."""
+    return convnet.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"), _remainder(3) == 1)
+
+
 def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles are 0.85 similar or more."""
     return minhash.near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
 QUERIES = {
-    "op5_suffix_dedup": op5_suffix_dedup,
-    "op10_minhash_dedup": op10_minhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_warc_zip,
+        op3_quality_rules,
+        op4_reply_trees,
+        op5_suffix_dedup,
+        op6_lattice_lm,
+        op7_importance_resampling,
+        op8_entropy_balancing,
+        op9_toxicity_cnn,
+        op10_minhash_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {}

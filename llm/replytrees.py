@@ -12,8 +12,8 @@ and `<|` becomes `<\\|`, so no text can hold a mark; in roles a line break becom
 formatted string, one for each text of the assistant, without marks.
 
 Null roles and texts are empty.  A null score counts as 0.  A message whose parent is not there
-(or is null, or is itself) is a root.  Messages on a cycle have no root and raise an error.  Messages
-that repeat a `(conv_id, node)` are merged: the smallest row counts, `thread` never makes any.
+(or is null, or is itself) is a root.  A path that comes back to one of its messages is an error; a
+closed ring without a leaf has no path.  Messages that repeat a `(conv_id, node)` are merged: the smallest row counts, `thread` never makes any.
 A null `conv_id` is a conversation of its own.  An empty table gives an empty result.  Other columns
 are not looked at.  Everything is DataFrame functions.
 """
@@ -57,9 +57,9 @@ def thread(rows: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
-    return rows.select("conv_id", "turn", "role", "text").select(
-        "conv_id", node.alias("node"), "role", "text"
-    ).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    numbered = rows.select("conv_id", node.alias("node"), "role", "text")
+    parent = F.when(F.col("node") > 1, F.col("node") - 1)
+    return numbered.select("conv_id", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -89,8 +89,10 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
             break
         turn += 1
         on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("up"))
+        again = F.array_contains(F.transform("path", lambda s: s["node"]), F.col("next"))
         longer = growing.join(above, on, "left").select(
-            "conv_id", F.col("next").alias("parent"),
+            "conv_id",
+            F.when(again, F.raise_error(F.lit("replies in a circle"))).otherwise(F.col("next")).alias("parent"),
             F.when(F.col("step").isNotNull(), F.concat(F.array("step"), "path")).otherwise(F.col("path")).alias("path"),
             (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
         )
@@ -144,7 +146,8 @@ def format_conversations(messages: DataFrame, best: int | None = None) -> DataFr
 
 def read_back(out: DataFrame) -> DataFrame:
     """Add `turns`, an array of `(role, text)`, and `learned`, the text under the mask, from the formatted string."""
-    pieces = F.slice(F.split("formatted", "\\Q" + START + "\\E"), 2, 2**31 - 1)
+    pieces = F.split("formatted", "\\Q" + START + "\\E")
+    pieces = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
