@@ -1,15 +1,75 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`.
+
+Each stage takes `(spark, docs, sf_dir)` and works on all documents that the stage before it kept.
+Between stages the documents are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import balance, minhash, repeats, rules, wumanber
+from llm.scratch import Scratch
+
+#: Columns of `documents`; all stages but the last return these.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the strict policy rejects."""
+    return rules.ledger(docs).where(rules.passes(rules.STRICT)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, the one with the smallest id.
+
+    Of rows that repeat its id, one stays.
+    """
+    groups = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80)
+    kept = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return one.dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut what repeats an earlier string of 100 bytes, in whole characters; `n_chars` follows."""
+    cut = repeats.without_repeats(docs.select("doc_id", "text"), 100).select("id", "mark", "kept")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(repeats.NO_ID)), "mark": F.xxhash64(text)})
+    left = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
+    out = keyed.join(cut, ["id", "mark"], "left").withColumn("left", left)
+    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("left").cast("long"))
+    return out.select("doc_id", F.col("left").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a ten-word window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return wumanber.decontaminate(docs.select(*COLUMNS), items).where("n_hit = 0").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add how often the mix takes each document, `copies`, so that sources meet their targets."""
+    return balance.mix(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: Suffix arrays and Newton steps are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
