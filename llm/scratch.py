@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
@@ -44,9 +47,19 @@ class Scratch:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and return it as read from the files."""
-        schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        """Write `df` and return it as read from the files.
+
+        The shuffle files behind it are deleted when it is written; nothing reads them again.
+        """
+        schema, before = df.schema, self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
