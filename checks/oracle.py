@@ -199,7 +199,7 @@ DOCUMENT_SENTENCES = """
     SELECT doc_id, 'body' AS section, unnest(string_split(text, chr(10))) AS sentence,
            generate_subscripts(string_split(text, chr(10)), 1) AS sent FROM documents"""
 TURN_SENTENCES = """
-    SELECT conv_id * 1000 + turn AS doc_id,
+    SELECT conv_id || ':' || turn AS doc_id,
            CASE WHEN role = 'user' THEN 'ingredients' ELSE 'instructions' END AS section,
            unnest(string_split(text, chr(10))) AS sentence,
            generate_subscripts(string_split(text, chr(10)), 1) AS sent FROM conversations"""

@@ -56,13 +56,13 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    """conversations: each turn is a document, its section is given by the role"""
+    """conversations: each turn is a document, its section is given by the role, the other is NULL"""
     rows = table(spark, d, "conversations")
     lines = F.split("text", "\n")
-    part = lambda ok: F.when(ok, lines).otherwise(F.array().cast("array<string>"))
+    part = lambda ok: F.when(ok, lines)
     user = F.col("role") == "user"
     docs = rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("doc_id"),
         part(user).alias("ingredients"),
         part(~user).alias("instructions"),
     )
@@ -166,9 +166,16 @@ def _(spark, d):
 # --- filters --------------------------------------------------------------------------------
 
 
-@register("drop_by_source", "SELECT page_id, url FROM pages WHERE NOT contains(url, 'example.com')")
+@register(
+    "drop_by_source",
+    """SELECT page_id, nullif(url, u) AS url FROM pages, (SELECT min(url) AS u FROM pages)
+    WHERE NOT coalesce(contains(nullif(url, u), 'example.com'), false)""",
+)
 def _(spark, d):
-    return D.drop_by_source(table(spark, d, "pages"), "example.com", "url").select("page_id", "url")
+    # One address is taken away: a row without a source stays.
+    rows = table(spark, d, "pages")
+    rows = rows.withColumn("url", F.nullif("url", F.lit(rows.agg(F.min("url")).first()[0])))
+    return D.drop_by_source(rows, "example.com", "url").select("page_id", "url")
 
 
 @register(
@@ -243,6 +250,20 @@ def _(spark, d):
     return stem_vocabulary(D.explode_words(text_tokens(spark, d), F.col("tokens"), "token"))
 
 
+@register(
+    "stem_dictionary",
+    f"""SELECT doc_id, array_to_string(list_transform({O.token_list(O.clean('text'))}, lambda t: reverse(t)), ' ') AS tokens
+    FROM documents""",
+)
+def _(spark, d):
+    # A dictionary with more words than may be looked up in place counts in full.
+    docs = text_tokens(spark, d)
+    stems = D.explode_words(docs, F.col("tokens"), "token").distinct().select("token", F.reverse("token").alias("stem"))
+    streams = docs.select("doc_id", F.expr("transform(tokens, t -> named_struct('token', t, 'pos', 'NN'))").alias("body"))
+    stemmed = D.flatten_documents(D.stem_streams(streams, BODY, stems, max_rows=100), BODY)
+    return stemmed.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 # --- bigrams --------------------------------------------------------------------------------
 
 
@@ -250,7 +271,7 @@ def _(spark, d):
     "flatten_documents",
     f"""WITH {O.streams(O.TURN_SENTENCES)}
     SELECT d.doc_id, coalesce(t.tokens, '') AS tokens
-    FROM (SELECT conv_id * 1000 + turn AS doc_id FROM conversations) d
+    FROM (SELECT conv_id || ':' || turn AS doc_id FROM conversations) d
     LEFT JOIN (SELECT doc_id, {O.LINE} AS tokens FROM stream WHERE token IS NOT NULL GROUP BY doc_id) t
     USING (doc_id)""",
 )
@@ -303,7 +324,7 @@ def _(spark, d):
         SELECT doc_id, true AS joined, {O.LINE} AS tokens FROM joined GROUP BY doc_id
         UNION ALL
         SELECT doc_id, false, {O.LINE} FROM stream WHERE token IS NOT NULL GROUP BY doc_id),
-    docs AS (SELECT conv_id * 1000 + turn AS doc_id, unnest([true, false]) AS joined FROM conversations)
+    docs AS (SELECT conv_id || ':' || turn AS doc_id, unnest([true, false]) AS joined FROM conversations)
     SELECT doc_id, joined, coalesce(tokens, '') AS tokens FROM docs LEFT JOIN lines USING (doc_id, joined)""",
 )
 def _(spark, d):
@@ -315,7 +336,7 @@ def _(spark, d):
 # --- vocabulary and co-occurrence -------------------------------------------------------------
 
 
-@register("vocab", f"WITH {O.VOCAB} SELECT CAST(word_id AS INTEGER) AS word_id, word, cnt FROM vocab")
+@register("vocab", f"WITH {O.VOCAB} SELECT word_id, word, cnt FROM vocab")
 def _(spark, d):
     return vocab15(spark, d)[1]
 
@@ -325,7 +346,7 @@ def _(spark, d):
     f"""WITH {O.TEXT_WORDS},
     n AS (SELECT word, count(*) AS cnt FROM text_words GROUP BY word),
     top AS (SELECT * FROM n ORDER BY cnt DESC, md5(word) LIMIT 1000)
-    SELECT CAST(row_number() OVER (ORDER BY cnt DESC, word) - 1 AS INTEGER) AS word_id, word, cnt FROM top""",
+    SELECT row_number() OVER (ORDER BY cnt DESC, word) - 1 AS word_id, word, cnt FROM top""",
 )
 def _(spark, d):
     return CO.vocabulary(text_tokens(spark, d), max_vocab=1000)

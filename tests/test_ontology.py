@@ -32,8 +32,6 @@ def test_leaf_paths(hierarchy):
     ]
     assert ON.leaf_paths(*hierarchy, pruned=["food material"]).count() == 0
     assert ON.leaf_paths(*hierarchy, pruned=()).count() == 6
-    with pytest.raises(ValueError, match="max_depth"):
-        ON.leaf_paths(*hierarchy, max_depth=2)
 
 
 def test_cycle_is_an_error(spark, hierarchy):

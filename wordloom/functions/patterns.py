@@ -13,7 +13,11 @@ WORD = r"[\p{L}\p{N}_]"
 # Fixed value: the ASCII punctuation characters, in code order.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ONLY_PUNCTUATION = r"\A[!-/:-@\[-`{-~]*\z"
-ONLY_NUMERIC = r"\A\p{N}+\z"
+# Letters with a numeric value, as `str.isnumeric` tells them (CJK numerals); they are in no number category.
+NUMERAL_LETTERS = "".join(
+    c for r in ((0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x2FA20)) for c in map(chr, range(*r)) if c.isnumeric()
+)
+ONLY_NUMERIC = rf"\A[\p{{N}}{NUMERAL_LETTERS}]+\z"
 ONLY_SPACE = rf"\A{SPACE}+\z"
 
 HTML_TAG = "<[^>]+>"

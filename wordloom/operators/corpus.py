@@ -25,8 +25,8 @@ SECTIONS = ("ingredients", "instructions")
 
 
 def drop_by_source(df: DataFrame, text: str = "cookbooks.com", column: str = "link") -> DataFrame:
-    """drop rows whose source contains `text`."""
-    return df.where(~F.col(column).contains(text))
+    """drop rows whose source contains `text`; a row without a source stays."""
+    return df.where(~F.coalesce(F.col(column).contains(text), F.lit(False)))
 
 
 def exclude_ids(df: DataFrame, excluded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -105,28 +105,42 @@ def explode_words(df: DataFrame, words: Column, name: str) -> DataFrame:
 
 def kept_words(df: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
     """The kept tokens of all streams, one row each, in a column `token`."""
-    words = F.array_compact(F.concat(*[F.transform(F.col(s), lambda x: x["token"]) for s in sections]))
-    return explode_words(df, words, "token")
+    return explode_words(df, F.array_compact(words_of(sections)), "token")
 
 
 def stem_streams(
-    df: DataFrame, sections: Sequence[str] = SECTIONS, stems: DataFrame | None = None
+    df: DataFrame,
+    sections: Sequence[str] = SECTIONS,
+    stems: DataFrame | None = None,
+    cache: bool = False,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """F4h: replace each kept token by its stem.
 
-    `stems` is a table `(token, stem)`, from `stem_vocabulary` or made by the user.  Its
-    most frequent words, as many as may be broadcast, are looked up in place; words not
-    found are stemmed by expression, so the result does not depend on the size of the table.
+    `stems` is a table `(token, stem)`.  A table made by the user counts in full: up to
+    `max_rows` words are looked up in place, a larger one is joined.  With `cache` the table comes
+    from `stem_vocabulary`, and its most frequent words are enough, since the expression gives the
+    others the same stems.  Words that are not in the table are stemmed by expression.
     """
     words = {s: f"transform({s}, x -> x.token)" for s in sections}
     if stems is None:
         stemmed = {s: stem_each(words[s]) for s in sections}
     else:
         stemmed = {}
-        known = most_frequent(stems) if "cnt" in stems.columns else stems.limit(BROADCAST_ROWS)
+        known = most_frequent(stems, max_rows) if cache else stems
         known = known.select(F.col("token").alias("key"), F.col("stem").alias("value"))
+        # One lookup for all sections; each takes its part of the answer.
+        empty = "CAST(array() AS array<string>)"
+        every = ", ".join(f"coalesce({words[s]}, {empty})" for s in sections)
+        df = match_elements(df, F.expr(f"concat({every})"), known, "_found", max_rows)
+        before = "1"
+        for s in sections:
+            size = f"greatest(size({s}), 0)"
+            part = f"CASE WHEN {s} IS NOT NULL THEN slice(_found, {before}, {size}) END"
+            df = df.withColumn(f"_{s}_found", F.expr(part))
+            before += f" + {size}"
+        df = df.drop("_found")
         for s in sections:
-            df = match_elements(df, F.expr(words[s]), known, f"_{s}_found")
             missing = f"zip_with({words[s]}, _{s}_found, (w, f) -> CASE WHEN f IS NULL THEN w END)"
             any_missing = F.expr(f"exists({missing}, w -> w IS NOT NULL)")
             filled = F.zip_with(f"_{s}_found", stem_each(missing), lambda f, m: F.coalesce(f, m))
@@ -159,7 +173,12 @@ def tokenize_documents(
 
 def flatten_documents(df: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
     """A2 + F6: `(doc_id, tokens)`, sections in order, without placeholders."""
-    words = [F.transform(F.col(s), lambda x: x["token"]) for s in sections]
-    return df.select("doc_id", F.array_compact(F.concat(*words)).alias("tokens"))
+    return df.select("doc_id", F.array_compact(words_of(sections)).alias("tokens"))
+
+
+def words_of(sections: Sequence[str]) -> Column:
+    """The tokens of all streams in one array, with their placeholders; a NULL section has none."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(F.transform(F.col(s), lambda x: x["token"]), none) for s in sections])
 
 

@@ -27,13 +27,13 @@ def leaf_paths(
     edges: DataFrame,
     root_label: str = ROOT_LABEL,
     pruned: Sequence[str] = PRUNED_LABELS,
-    max_depth: int = 100,
 ) -> DataFrame:
     """`(leaf_id, path)` for each way from the root to a leaf.
 
     `nodes` is `(id, label)`, `edges` is `(child, parent)`.  F11: no path goes through a
     pruned label, and a node with pruned children only is not a leaf.  One join with the
-    edges for each level; the paths of a level are checkpointed, and a cycle is an error.
+    edges for each level, as many as there are; the paths of a level are checkpointed, and a
+    cycle is an error.
     """
     nodes = nodes.select("id", "label")
     edges = edges.select("child", "parent").distinct()
@@ -51,7 +51,7 @@ def leaf_paths(
         F.col("id").alias("node"), F.array("id").alias("ids"), F.array("label").alias("path"), "inner"
     )
     done = []
-    for _ in range(max_depth):
+    while True:
         done.append(level.where(~F.col("inner")).select(F.col("node").alias("leaf_id"), "path"))
         nxt = level.where("inner").select("node", "ids", "path").join(steps, "node")
         ids = F.when(~F.array_contains("ids", F.col("child")), F.concat("ids", F.array("child")))
@@ -64,7 +64,6 @@ def leaf_paths(
             raise ValueError(f"the ontology has a cycle; {cycles} paths run into it")
         if n == 0:
             return reduce(DataFrame.union, done)
-    raise ValueError(f"paths are longer than max_depth={max_depth}")
 
 
 def pad_paths(paths: DataFrame) -> DataFrame:

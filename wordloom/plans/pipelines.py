@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
+from wordloom.functions.clean import CLEANERS, Cleaner
 from wordloom.functions.stem import stem_vocabulary, stem_words
 from wordloom.functions.wordlists import STOP_WORDS
 from wordloom.operators.bigrams import corpus_with_bigrams, extract_bigrams
@@ -26,9 +26,24 @@ from wordloom.operators.corpus import (
 )
 from wordloom.operators.denoise import denoise
 from wordloom.operators.glove import output_vectors, train_glove
-from wordloom.runtime import checkpoint
+from wordloom.operators.ontology import GROUP_SUFFIX, PRUNED_LABELS, ROOT_LABEL, group_tokens, leaf_paths, ontology_groups
+from wordloom.operators.retrofit import retrofit, sums_from_groups
+from wordloom.runtime import checkpoint, write_stage
 
 Tagger = Callable[[Column], Column]
+WordList = Sequence[str] | DataFrame
+
+# Words of a list that go into an expression; longer lists are an error, not cut.
+LONGEST_LIST = 10_000
+
+
+def word_list(words: WordList) -> list[str]:
+    """The words of a list, or of the column `word` of a table as `read_wordlist` gives it."""
+    if isinstance(words, DataFrame):
+        words = [r.word for r in words.select("word").distinct().orderBy("word").limit(LONGEST_LIST + 1).collect()]
+    if len(words) > LONGEST_LIST:
+        raise ValueError(f"a word list may have {LONGEST_LIST} words")
+    return list(words)
 
 
 def prepare_corpus(
@@ -45,20 +60,25 @@ def preprocess(
     documents: DataFrame,
     sections: Sequence[str] = SECTIONS,
     tagger: Tagger | None = None,
-    stop_words: Sequence[str] | None = None,
+    stop_words: WordList | None = None,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+    stems: DataFrame | None = None,
 ) -> DataFrame:
     """Documents to stemmed token streams.
 
-    The filtered tokens are kept on the executors, as they are read twice: once to stem the
-    distinct words, once to put the stems in.
+    `stop_words` is a list or a table from `read_wordlist`, `cleaners` the steps of cleaning, `stems` a
+    table `(token, stem)` that counts before the built-in stems.  The filtered tokens are written once,
+    as they are read twice: to stem the distinct words, and to put the stems in.
     """
     if stop_words is None:
         stop_words = stem_words(documents.sparkSession, STOP_WORDS)
-    tokens = split_tokens(clean_documents(documents, sections), sections)
-    streams = token_streams(filter_tokens(tokens, sections, stop_words, tagger), sections)
-    streams = streams.select("doc_id", *sections).persist(StorageLevel.MEMORY_AND_DISK)
-    stems = checkpoint(stem_vocabulary(kept_words(streams, sections)))
-    return stem_streams(streams, sections, stems)
+    tokens = split_tokens(clean_documents(documents, sections, cleaners), sections)
+    streams = token_streams(filter_tokens(tokens, sections, word_list(stop_words), tagger), sections)
+    if stems is not None:
+        return stem_streams(streams, sections, stems)
+    streams = write_stage(streams.select("doc_id", *sections))
+    known = checkpoint(stem_vocabulary(kept_words(streams, sections)))
+    return stem_streams(streams, sections, known, cache=True)
 
 
 def build_bigrams(
@@ -67,10 +87,17 @@ def build_bigrams(
     sections: Sequence[str] = SECTIONS,
     mined: Sequence[str] | None = None,
     tagger: Tagger | None = None,
+    excluded: WordList | None = None,
+    **text,
 ) -> DataFrame:
-    """Corpus to bigram model `(w1, w2, freq)`; pairs are mined in the last section by default."""
-    streams = preprocess(documents, sections, tagger)
-    return extract_bigrams(streams, freq_filter, mined or sections[-1:])
+    """Corpus to bigram model `(w1, w2, freq)`; pairs are mined in the last section by default.
+
+    `excluded` are words that are in no pair (units and tools by default); `text` are the options
+    of `preprocess`.
+    """
+    streams = preprocess(documents, sections, tagger, **text)
+    excluded = None if excluded is None else word_list(excluded)
+    return extract_bigrams(streams, freq_filter, mined or sections[-1:], excluded)
 
 
 def build_training_corpus(
@@ -78,11 +105,14 @@ def build_training_corpus(
     bigrams: DataFrame | None = None,
     sections: Sequence[str] = SECTIONS,
     tagger: Tagger | None = None,
+    **text,
 ) -> DataFrame:
-    """L8, the part before training: `(doc_id, tokens)`, one row per line of training text."""
-    return corpus_with_bigrams(preprocess(documents, sections, tagger), bigrams, sections).select(
-        "doc_id", "tokens"
-    )
+    """L8, the part before training: `(doc_id, tokens)`, one row per line of training text.
+
+    `text` are the options of `preprocess`.
+    """
+    streams = preprocess(documents, sections, tagger, **text)
+    return corpus_with_bigrams(streams, bigrams, sections).select("doc_id", "tokens")
 
 
 @dataclass
@@ -120,8 +150,31 @@ def build_embeddings(
     dim: int = 300,
     sections: Sequence[str] = SECTIONS,
     tagger: Tagger | None = None,
+    stop_words: WordList | None = None,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+    stems: DataFrame | None = None,
     **training,
 ) -> Embeddings:
-    """Corpus to word vectors; the training corpus is checkpointed between the two halves."""
-    docs = checkpoint(build_training_corpus(documents, bigrams, sections, tagger))
+    """Corpus to word vectors; the training corpus is written between the two halves."""
+    text = {"stop_words": stop_words, "cleaners": cleaners, "stems": stems}
+    docs = write_stage(build_training_corpus(documents, bigrams, sections, tagger, **text))
     return train_embeddings(docs, dim, **training)
+
+
+def retrofit_embeddings(
+    vectors: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    bigrams: DataFrame | None = None,
+    root_label: str = ROOT_LABEL,
+    pruned: Sequence[str] = PRUNED_LABELS,
+    suffix: str = GROUP_SUFFIX,
+    **retrofitting,
+) -> DataFrame:
+    """Vectors `(token, vec)`, an ontology and a bigram model to retrofitted vectors.
+
+    The members of a group of the ontology are neighbours; `retrofitting` are the options of `retrofit`.
+    """
+    groups = ontology_groups(leaf_paths(nodes, edges, root_label, pruned), suffix)
+    members = group_tokens(groups, vectors.select("token"), bigrams)
+    return retrofit(vectors, sums_from_groups(members), **retrofitting)

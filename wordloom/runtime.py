@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,13 +18,12 @@ BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by writing it to the checkpoint folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, from `spark.checkpoint.dir`.
 
-    The folder comes from `spark.checkpoint.dir`.  Only a local session without one
-    gets a folder of its own; on a cluster that would not be shared, so it is refused.
+    Only a local session without one gets a folder of its own; on a cluster that would not be
+    shared, so it is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +32,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` by writing it to the checkpoint folder of the session."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table from `checkpoint` that nothing will read again."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_stage(df: DataFrame) -> DataFrame:
+    """Write a large table once, as Parquet in the checkpoint folder, and read it from there.
+
+    The files are deleted when the session ends.
+    """
+    spark = df.sparkSession
+    name = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when `df` has at most `max_rows` rows; stops reading soon after the bound."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from wordloom.functions.stem import stem_vocabulary
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """`(doc_id, ingredients, instructions, link)` from CSV with a header.
 
     The columns are found by name; the id column has no name.  Cells are JSON text, with
-    doubled quotes.  Cells may contain line breaks, so a file is one split: keep a large
-    corpus in many files or in parquet.
+    doubled quotes.  JSON escapes its line breaks, so files are split; with `multi_line`
+    other cells may hold line breaks, and then a file is one split.  An empty cell is NULL.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False)
     return raw.select(
         F.col("_c0").cast("long").alias("doc_id"),
         "ingredients",
@@ -79,13 +79,20 @@ def write_training_text(
     lines.write.mode(mode).option("compression", compression).text(path)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """`(token, vec)` from text lines `token v1 .. vd`.
 
-    The header is the one line with exactly two numbers; text files are read in parallel,
-    so "the first line" means nothing here.
+    With `header`, a line of two whole numbers is dropped where it is the first of its file: it
+    starts in the block at offset 0 and no line of the block comes before it.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"\A\d+\s+\d+\s*\z"))
+    lines = spark.read.text(path)
+    if header:
+        # Numbers rise along each block, which is read as one; the first one of a file is its head.
+        lines = lines.select("value", F.monotonically_increasing_id().alias("_n"), F.col("_metadata.file_path").alias("_f"),
+                             F.col("_metadata.file_block_start").alias("_b"))
+        head = lines.where("_b = 0").groupBy("_f").agg(F.min("_n").alias("_n"), F.min_by("value", "_n").alias("_v"))
+        head = head.where(F.col("_v").rlike(r"\A\d+\s+\d+\s*\z")).select("_f", "_n")
+        lines = lines.join(head, ["_f", "_n"], "left_anti").select("value")
     parts = F.split(F.rtrim("value"), r"\s+")
     vec = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.cast("float"))
     return lines.where("value <> ''").select(F.get(parts, F.lit(0)).alias("token"), vec.alias("vec"))
