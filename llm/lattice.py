@@ -79,9 +79,9 @@ class Lattice:
         self.longest = max(map(len, self.log), default=1)
         self.end = logs[-1] / math.log(10)
 
-    def arcs(self, word: str):
+    def arcs(self, word: str) -> list:
         """For each place the arcs that end there: `(from, log share)`."""
-        log, longest = self.log, self.longest
+        log, longest, out = self.log, self.longest, []
         for j in range(1, len(word) + 1):
             found = []
             for i in range(max(0, j - longest), j):
@@ -90,11 +90,13 @@ class Lattice:
                     found.append((i, s))
             if word[j - 1 : j] not in log:
                 found.append((j - 1, sum(self.byte[b] for b in word[j - 1].encode("utf-8", "surrogatepass"))))
-            yield j, found
+            out.append(found)
+        return out
 
-    def forward(self, word: str) -> list[float]:
-        alpha = [0.0] * (len(word) + 1)
-        for j, found in self.arcs(word):
+    @staticmethod
+    def forward(arcs: list) -> list[float]:
+        alpha = [0.0] * (len(arcs) + 1)
+        for j, found in enumerate(arcs, 1):
             if len(found) == 1:
                 i, s = found[0]
                 alpha[j] = alpha[i] + s
@@ -106,17 +108,18 @@ class Lattice:
 
     def score(self, word: str) -> float:
         """log10 of the marginal probability of the word."""
-        return self.forward(SPACE + word)[-1] / math.log(10)
+        return self.forward(self.arcs(SPACE + word))[-1] / math.log(10)
 
     def expect(self, word: str, weight: float, counts: np.ndarray) -> None:
         """Add the expected number of each piece in `weight` copies of the word."""
         word = SPACE + word
-        alpha = self.forward(word)
+        arcs = self.arcs(word)
+        alpha = self.forward(arcs)
         total = alpha[-1]
         beta = [-math.inf] * (len(word) + 1)
         beta[-1] = 0.0
-        for j, found in reversed(list(self.arcs(word))):
-            b = beta[j]
+        for j in range(len(word), 0, -1):
+            b, found = beta[j], arcs[j - 1]
             if b == -math.inf:
                 continue
             for i, s in found:

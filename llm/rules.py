@@ -31,7 +31,7 @@ RULES = (
     ("same_word_runs", "10 * n_same_as_last > 3 * n_words"),
     ("shouting", "2 * n_upper_words > n_words"),
     ("exclamation", "10 * n_exclamations > 3 * n_words"),
-    ("duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
 )
 BITS = {name: 1 << k for k, (name, _) in enumerate(RULES)}
