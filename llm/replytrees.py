@@ -1,8 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages `(conv_id, node, parent, role, text, score)` form a forest in each conversation.  Root-to-leaf paths come from
-iterative self-joins: every leaf starts a path, and each round puts the parent of the first message in
-front of it, so the work is one row for each path and round.  Branches are ranked by the sum of their
+Messages `(conv_id, node, parent, role, text, score)` form a forest in each conversation.  Root-to-leaf
+paths come from iterative self-joins that double their reach: ancestors at distance 1, 2, 4 and so on,
+then the messages between each leaf and its root, one row for each message of a path.  A
+conversation of n turns takes about 2 * log2(n) joins.  Branches are ranked by the sum of their
 scores, then by length and by the nodes on them, and the best `best` of each conversation are
 formatted, each as one conversation.
 
@@ -12,8 +13,7 @@ and `<|` becomes `<\\|`, so no text can hold a mark; in roles a line break becom
 formatted string, one for each text of the assistant, without marks.
 
 Null roles and texts are empty.  A null score counts as 0.  A message whose parent is not there
-(or is null, or is itself) is a root.  A path that comes back to one of its messages is an error; a
-closed ring without a leaf has no path.  Messages that repeat a `(conv_id, node)` are merged: the smallest row counts, `thread` never makes any.
+(or is null, or is itself) is a root.  Replies in a circle are an error.  Messages that repeat a `(conv_id, node)` are merged: the smallest row counts, `thread` never makes any.
 A null `conv_id` is a conversation of its own.  An empty table gives an empty result.  Other columns
 are not looked at.  Everything is DataFrame functions.
 """
@@ -28,6 +28,8 @@ from llm.scratch import Scratch
 
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
+#: Paths may have up to two to this power messages; what is longer goes in a circle.
+LONGEST = 40
 
 
 def escape(text: Column) -> Column:
@@ -73,34 +75,31 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "messages",
     )
-    above = rows.select(
-        F.col("conv_id").alias("c"), F.col("node").alias("up"), F.col("parent").alias("next"),
-        F.struct("node", "role", "text").alias("step"), F.col("score").alias("more"),
-    )
+    # Ancestors at distance 1, 2, 4, ..: each table is the last one joined to itself.
+    jumps = [rows.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("parent").alias("up"))]
+    known = rows.select(F.col("conv_id").alias("c"), F.col("node").alias("up"))
+    jumps[0] = scratch.save(jumps[0].join(known, jumps[0]["c"].eqNullSafe(known["c"]) & (jumps[0]["up"] == known["up"]), "left_semi"), "up-0")
+    while not jumps[-1].isEmpty():
+        if len(jumps) > LONGEST:
+            raise ValueError("replies in a circle")
+        far = jumps[-1].toDF("c2", "n2", "up2")
+        twice = jumps[-1].join(far, F.col("c").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")))
+        jumps.append(scratch.save(twice.select("c", "n", F.col("up2").alias("up")), f"up-{len(jumps)}"))
     # Leaves are what no message replies to.
-    replied = rows.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
+    replied = jumps[0].select("c", F.col("up").alias("p")).distinct()
     leaf = rows.join(replied, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
-    leaf = leaf.select("conv_id", "parent", F.array(F.struct("node", "role", "text")).alias("path"), "score")
-    growing, done, turn = scratch.save(leaf, "paths-0"), [], 0
-    while True:
-        done.append(growing.where("parent is null").select("conv_id", "path", "score"))
-        growing = growing.where("parent is not null")
-        if growing.isEmpty():
-            break
-        turn += 1
-        on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("up"))
-        again = F.array_contains(F.transform("path", lambda s: s["node"]), F.col("next"))
-        longer = growing.join(above, on, "left").select(
-            "conv_id",
-            F.when(again, F.raise_error(F.lit("replies in a circle"))).otherwise(F.col("next")).alias("parent"),
-            F.when(F.col("step").isNotNull(), F.concat(F.array("step"), "path")).otherwise(F.col("path")).alias("path"),
-            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-        )
-        growing = scratch.save(longer, f"paths-{turn}")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+    steps = leaf.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    # From the longest jump down, every message of a path is met once, by the binary digits of its distance.
+    for k in range(len(jumps) - 2, -1, -1):
+        on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))
+        more = steps.join(jumps[k], on).select("conv_id", "leaf", F.col("up").alias("node"), F.col("back") + (1 << k))
+        steps = scratch.save(steps.union(more), f"steps-{k}")
+    said = rows.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text", "score")
+    found = steps.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+    turn = F.struct((-F.col("back")).alias("at"), "node", "role", "text")
+    whole = found.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("score").alias("score"))
+    path = F.transform("turns", lambda t: F.struct(t["node"].alias("node"), t["role"].alias("role"), t["text"].alias("text")))
+    return whole.select("conv_id", path.alias("path"), "score")
 
 
 def ranked(found: DataFrame, best: int | None) -> DataFrame:
