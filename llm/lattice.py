@@ -72,25 +72,30 @@ class Lattice:
 
     def __init__(self, pieces: list[str], spelled: list[int], shares: np.ndarray):
         logs = np.log(np.maximum(shares, 1e-300)).tolist()
-        self.log = {p: logs[i] for i, p in enumerate(pieces) if p}
-        self.number = {p: i for i, p in enumerate(pieces) if p}
+        self.pieces = {p: (logs[i], i) for i, p in enumerate(pieces) if p}
+        #: Beginnings of pieces: where a string is none of these, no longer piece starts with it.
+        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p))}
         self.byte = [logs[i] for i in spelled]
         self.spelled = spelled
-        self.longest = max(map(len, self.log), default=1)
         self.end = logs[-1] / math.log(10)
 
     def arcs(self, word: str) -> list:
-        """For each place the arcs that end there: `(from, log share)`."""
-        log, longest, out = self.log, self.longest, []
-        for j in range(1, len(word) + 1):
-            found = []
-            for i in range(max(0, j - longest), j):
-                s = log.get(word[i:j])
-                if s is not None:
-                    found.append((i, s))
-            if word[j - 1 : j] not in log:
-                found.append((j - 1, sum(self.byte[b] for b in word[j - 1].encode("utf-8", "surrogatepass"))))
-            out.append(found)
+        """For each place the arcs that end there: `(from, log share, number of the piece)`.
+
+        The number is -1 for a letter that is spelled by bytes.
+        """
+        pieces, starts, n = self.pieces, self.starts, len(word)
+        out = [[] for _ in range(n)]
+        for i in range(n):
+            if word[i] not in pieces:
+                out[i].append((i, sum(self.byte[b] for b in word[i].encode("utf-8", "surrogatepass")), -1))
+            for j in range(i + 1, n + 1):
+                part = word[i:j]
+                found = pieces.get(part)
+                if found is not None:
+                    out[j - 1].append((i, *found))
+                if part not in starts:
+                    break
         return out
 
     @staticmethod
@@ -98,10 +103,10 @@ class Lattice:
         alpha = [0.0] * (len(arcs) + 1)
         for j, found in enumerate(arcs, 1):
             if len(found) == 1:
-                i, s = found[0]
+                i, s, _ = found[0]
                 alpha[j] = alpha[i] + s
             else:
-                values = [alpha[i] + s for i, s in found]
+                values = [alpha[i] + s for i, s, _ in found]
                 top = max(values)
                 alpha[j] = top + math.log(sum([math.exp(v - top) for v in values]))
         return alpha
@@ -110,7 +115,7 @@ class Lattice:
         """log10 of the marginal probability of the word."""
         return self.forward(self.arcs(SPACE + word))[-1] / math.log(10)
 
-    def expect(self, word: str, weight: float, counts: np.ndarray) -> None:
+    def expect(self, word: str, weight: float, counts: list | np.ndarray) -> None:
         """Add the expected number of each piece in `weight` copies of the word."""
         word = SPACE + word
         arcs = self.arcs(word)
@@ -122,7 +127,7 @@ class Lattice:
             b, found = beta[j], arcs[j - 1]
             if b == -math.inf:
                 continue
-            for i, s in found:
+            for i, s, k in found:
                 x = b + s
                 old = beta[i]
                 if old == -math.inf:
@@ -130,8 +135,7 @@ class Lattice:
                 else:
                     beta[i] = max(old, x) + math.log1p(math.exp(-abs(old - x)))
                 share = weight * math.exp(alpha[i] + x - total)
-                k = self.number.get(word[i:j])
-                if k is not None:
+                if k >= 0:
                     counts[k] += share
                 else:
                     for byte in word[i:j].encode("utf-8", "surrogatepass"):
@@ -165,10 +169,11 @@ def train(counts: DataFrame, texts: int, path: str = VOCABULARY, rounds: int = R
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(pieces, spelled, shared.value)
-            counts = np.zeros(len(pieces))
+            counts = [0.0] * len(pieces)
             for batch in batches:
                 for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
                     lattice.expect(word, c, counts)
+            counts = np.array(counts)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["piece", "n"])
 
