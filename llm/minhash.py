@@ -13,6 +13,7 @@ after `rounds` is settled exactly by prefixes: shingles are ordered from the rar
 that are similar enough share one of the first n - ceil(n * percent / 100) + 1 of their shingles;
 pairs of different components that do so, and whose sizes allow a link, are confirmed like the others.
 So no link that a bucket holds is lost, and a group of copies is never paired with itself.
+`band_rows` lays the bands out for the asked similarity, so that few links share no bucket.
 
 Texts with the same set of shingles are one class, with one sketch; its members are not expanded.
 
@@ -35,7 +36,8 @@ from llm.components import components
 from llm.scratch import Scratch
 from llm.textops import mix, pieces, words
 
-BINS, ROWS, WIDTH = 480, 10, 5
+BINS, WIDTH = 480, 5
+MISS = 3e-5  # chance that a pair that is just similar enough shares no band
 NO_ID = -(2**63)  # stands for a null doc_id inside
 
 #: Members of a star that are compared in one go, next to one copy of the centre.
@@ -90,6 +92,19 @@ def bands(table: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bins // rows, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def miss(percent: int, bins: int, rows: int) -> float:
+    """The chance that two texts of this similarity agree in no band of `rows` bins."""
+    return (1 - (percent / 100) ** rows) ** (bins // rows)
+
+
+def band_rows(percent: int, bins: int = BINS) -> int:
+    """The most bins per band, and so the fewest candidates, that miss no more than `MISS` at `percent`.
+
+    1 if even that misses more, as it does with 480 bins below 3 percent.
+    """
+    return max((r for r in range(1, bins + 1) if miss(percent, bins, r) <= MISS), default=1)
+
+
 def _digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """16 bytes for each set, from two independent sums over its elements and its size."""
     filled = np.flatnonzero(np.diff(at))
@@ -213,7 +228,7 @@ def near_duplicates(
     percent: int = 80,
     width: int = WIDTH,
     bins: int = BINS,
-    rows: int = ROWS,
+    rows: int | None = None,
     rounds: int = 2,
     key: str = "doc_id",
     text: str = "text",
@@ -222,7 +237,9 @@ def near_duplicates(
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of shingles.
     `component_id` is the smallest id that links reach, `kept` is true for that document.
+    `rows` is the number of bins in a band; it follows from `percent` if not given.
     """
+    rows = rows or band_rows(percent, bins)
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     sketches = scratch.save(
