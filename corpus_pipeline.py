@@ -22,14 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one with the smallest id.
+    """Keep one row of each group of near copies, the one with the smallest id.
 
-    Of rows that repeat its id, one stays.
+    Rows are documents of their own, also where an id is null or repeated: links join rows, and of rows
+    with equal ids in one group the one with the least hash of its text stays.  Texts without words
+    are linked with nothing; of those only rows that repeat both id and text are dropped.
     """
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return one.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    scratch = Scratch(spark, "pipeline-near")
+    # Written once, so a row has the same number whenever it is read.
+    rows = scratch.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, percent=80, key="_row").select(
+        F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")
+    )
+    order = F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), "lang", "source", "n_chars", "_row")
+    ranked = rows.select("_row", order.alias("order")).join(groups, "_row")
+    alone = F.when(F.col("group").isNull(), F.struct("order.doc_id", "order.mark"))
+    first = ranked.groupBy("group", alone.alias("alone")).agg(F.min("order").alias("order"))
+    kept = scratch.save(first.select("order._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,24 @@ def test_stages(spark, folder, documents):
     assert mixed.count() == clean.count() and set(P.COLUMNS) < set(mixed.columns)
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Ids do not join rows of different texts, and no row goes without a near copy that stays."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = text["d"] + " more"
+    rows = [
+        (3, text["a"]), (7, text["a"]), (7, text["b"]), (None, text["c"]), (None, text["d"]), (None, text["e"]), (None, text["e"]),
+        (9, near), (5, text["f"]), (5, text["g"]), (8, text["g"]), (8, text["g"]), (10, None), (10, None), (10, ""), (11, None),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [
+        (3, text["a"]), (7, text["b"]), (None, text["c"]), (None, text["d"]), (None, text["e"]), (5, text["f"]), (5, text["g"]),
+        (10, None), (10, ""), (11, None),
+    ]
+    for parts in (1, 5):
+        got = P.near_duplicates(spark, docs.repartition(parts), "").select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_run_on_an_empty_table(spark, nothing):
     docs = nothing
     for _, stage in P.STAGES[:3]:
