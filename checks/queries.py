@@ -435,14 +435,14 @@ def _(spark, d):
 @register("train_glove")
 def _(spark, d):
     pairs = checkpoint(_pairs(spark, d))
-    params = G.train_glove(pairs, dim=8, iterations=3, seed=1)
+    params = G.train_glove(pairs, dim=300, iterations=100, seed=1)
     return params.select("word_id", V.combine(F.col("vec"), F.col("context_vec")).alias("vec"))
 
 
 @register("build_embeddings")
 def _(spark, d):
     model = PL.build_bigrams(turns(spark, d), 3)
-    return PL.build_embeddings(turns(spark, d), model, dim=8, iterations=2, min_count=5, components=2).vectors
+    return PL.build_embeddings(turns(spark, d), model, dim=300, iterations=100, min_count=5, components=2).vectors
 
 
 # --- vectors --------------------------------------------------------------------------------

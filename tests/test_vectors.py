@@ -161,6 +161,24 @@ def test_glove_loss_and_gradient_steps(pairs, monkeypatch):
     assert got.n_pairs == len(rows) and got.loss == pytest.approx(loss)
 
 
+def test_glove_clips_pairs_and_not_their_sum(spark):
+    """One word with 400 contexts: its summed gradient is over the bound, those of its pairs are not."""
+    x = np.array([50.0 + j % 50 for j in range(400)])
+    pairs = spark.createDataFrame([(0, j, float(x[j])) for j in range(400)], "wi int, wj int, x double")
+    start = {(r.side, r.word_id): np.array(r.vec) for r in G.initial_state(pairs, 3, 9).collect()}
+    w, c = start[0, 0], np.stack([start[1, j] for j in range(400)])
+    sums = [np.zeros_like(w), np.zeros_like(c)]
+    for _ in range(2):
+        step = (x / 100) ** 0.75 * (c[:, :3] @ w[:3] + c[:, 3] + w[3] - np.log(x))
+        gw = step @ np.c_[c[:, :3], np.ones(400)]
+        gc = step[:, None] * np.append(w[:3], 1)
+        assert abs(gw).max() > G.CLIP > abs(gc).max()
+        sums = [s + g * g for s, g in zip(sums, (gw, gc))]
+        w, c = (v - 0.05 * g / np.sqrt(s) for v, g, s in zip((w, c), (gw, gc), sums))
+    params = {r.word_id: r for r in G.train_glove(pairs, dim=3, iterations=2, seed=9).collect()}
+    assert np.allclose(params[0].vec, w, rtol=1e-6) and np.allclose(params[7].context_vec, c[7], rtol=1e-6)
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, b array<double>")
     a, b = F.col("a"), F.col("b")
