@@ -267,9 +267,14 @@ def near_duplicates(
     first = scratch.save(first.select("a", "b").distinct(), "first")
     # Texts that share a bucket with others, read by all rounds.
     texts = scratch.save(texts.join(members.select(F.col("node").alias("id")).distinct(), "id").distinct(), "texts")
+    # Rows that repeat an id are one document: the classes of its texts are joined through the id.
+    often = sketches.groupBy("id").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("id")
+    through = sketches.where("n_shingles > 0").join(often, "id").select("id", "digest").distinct()
+    through = through.join(classes.select("digest", "node"), "digest").where("node <> id")
+    through = scratch.save(through.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct(), "through")
     tried = settle(first, "tried-0")
     near = tried
-    comps = components(tried.where("linked"), scratch, "stars-0")
+    comps = components(tried.where("linked").select("a", "b").union(through), scratch, "stars-0")
 
     def unsettled(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
         """The members, with their component, of the buckets that hold more than one component."""
@@ -292,13 +297,16 @@ def near_duplicates(
             pairs = rare_pairs(texts.join(nodes.withColumnRenamed("node", "id"), "id"), width, percent)
         tried = settle(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), f"tried-{turn}")
         near = scratch.save(near.union(tried), f"near-{turn}")
-        comps = components(near.where("linked"), scratch, f"stars-{turn}")
+        comps = components(near.where("linked").select("a", "b").union(through), scratch, f"stars-{turn}")
         if turn <= rounds:
             left = unsettled(left, comps, f"open-{turn}")
     # Classes that are more than one text, or joined to others, get a row; all else is itself.
     nodes = classes.select("digest", "node").join(comps.toDF("node", "comp"), "node", "left")
     nodes = nodes.select("digest", F.coalesce("comp", "node").alias("comp"))
-    out = sketches.select("id", "n_shingles", "digest").join(nodes, "digest", "left")
+    out = sketches.where("n_shingles > 0").select("id", "n_shingles", "digest").join(nodes, "digest", "left").drop("digest")
+    # A row without shingles follows the other rows of its id.
+    none = sketches.where("n_shingles = 0").select("id", "n_shingles").join(comps.toDF("id", "comp"), "id", "left")
+    out = out.unionByName(none)
     back = lambda c: F.nullif(c, F.lit(NO_ID))
     comp = F.coalesce("comp", "id")
     return out.select(

@@ -54,6 +54,16 @@ def test_near_duplicates_of_a_group_where_the_smallest_is_no_centre(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_duplicates_through_repeated_ids(documents, rows):
+    """Links pass through an id with several texts, also where it is not the smallest of their classes."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    more = [(503, x), (505, x), (505, y), (507, y), (507, ""), (507, z), (509, z + " end"), (510, z + " end"), (511, None)]
+    extra = documents.sparkSession.createDataFrame([(*r, "en", "s0", 1) for r in more], documents.schema)
+    got = sorted(map(tuple, minhash.near_duplicates(documents.union(extra), 85).collect()), key=str)
+    sets, low = brute(rows + extra.collect(), 85)
+    assert low[510] == 503 and got == sorted([(k, len(s), low[k], k == low[k]) for k, s in sets], key=str)
+
+
 def test_bands_follow_the_percentage(spark):
     """3,000 pairs of similarity 0.80 exactly; bands laid out for 0.85 lose about one in 230 of them."""
     rows = []
