@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import archives, balance, convnet, lattice, minhash, repeats, replytrees, resampling, rules, wumanber
+from llm import archives, balance, convnet, lattice, minhash, periods, repeats, replytrees, resampling, rules, targeting, wumanber
 
 from llm.scratch import Scratch
 
@@ -132,6 +132,44 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
+def _with_period(key: Column, text: Column) -> Column:
+    """The text; where crc32 of the id divides by ten, its words from a place on repeat with a period, both given by the crc32."""
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "")
+    h, n = F.crc32(key.cast("string").cast("binary")), F.size(found)
+    g = F.floor(h / 10)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    word = lambda i: F.get(found, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise(text)
+
+
+def op11_internal_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every text, and what is left without their repetitions."""
+    docs = _read(spark, folder, "documents").select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r.alias("run"))))["run"]
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return (
+        periods.collapse(docs)
+        .withColumn("longest", longest)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            "longest.start",
+            "longest.length",
+            "longest.period",
+            F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op13_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark texts."""
+    out = targeting.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -145,6 +183,8 @@ QUERIES = {
         op8_entropy_balancing,
         op9_toxicity_cnn,
         op10_minhash_dedup,
+        op11_internal_periods,
+        op13_crc_resampling,
     )
 }
 
@@ -165,4 +205,34 @@ ORACLES: dict[str, str] = {
             + length(replace({_ESCAPED.format('role')}, chr(10), '..')) + length({_ESCAPED.format('text')})) AS BIGINT)
             AS formatted_chars
     FROM turns GROUP BY conv_id""",
+    "op13_crc_resampling": r"""
+    WITH words AS (
+        SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+        UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+    codes AS MATERIALIZED (
+        SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS code),
+    buckets AS MATERIALIZED (
+        SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda k: CAST('0x' || hex(encode(w))[2 * k + 1 : 2 * k + 2] AS BIGINT)),
+            lambda c, b: xor(code[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+        FROM (SELECT DISTINCT w FROM words), codes),
+    counts AS (
+        SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t
+        FROM words JOIN buckets USING (w) GROUP BY bucket),
+    gains AS (
+        SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE)
+            / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS gain FROM counts),
+    weights AS (
+        SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*)) AS weight
+        FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+    scored AS (
+        SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+            CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+        FROM documents d LEFT JOIN weights USING (doc_id)),
+    ranked AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS many FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * many // 100 THEN rank END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)""",
 }

@@ -110,9 +110,9 @@ class Words:
         return hashes.of(self.start[begin], self.end[last]), offsets
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -> Words:
-    """Lower-case A-Z and take the maximal runs of bytes of `kind`; none spans two texts."""
-    data = LOWER[data]
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Words:
+    """Lower-case A-Z, if `lower`, and take the maximal runs of bytes of `kind`; none spans two texts."""
+    data = LOWER[data] if lower else data
     n = len(data)
     inside = kind[data]
     edge = np.zeros(n + 1, bool)

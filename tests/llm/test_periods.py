@@ -1,0 +1,104 @@
+"""Periodic runs against a search for every period, at every place."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from llm import periods
+from llm.queries import QUERIES
+
+
+def brute_runs(t, least=12):
+    found = {}
+    for q in range(1, len(t) // 2 + 1):
+        i = 0
+        while i < len(t) - q:
+            j = i
+            while j < len(t) - q and t[j] == t[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q) and j > i:
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((start, end - start, q) for (start, end), q in found.items())
+
+
+def planted(key, text):
+    t = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = 1 if key is None else zlib.crc32(str(key).encode())
+    if h % 10 == 0 and t:
+        g = h // 10
+        a = g % len(t)
+        p = 1 + (len(t) - a) // (3 + g % 8)
+        t = t[:a] + [t[a + (i - a) % p] for i in range(a, len(t))]
+    return t
+
+
+def expected(key, text):
+    t = planted(key, text)
+    runs = brute_runs(t)
+    drop = {k for start, length, q in runs for k in range(start + q, start + length)}
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (
+        key, len(runs), *(best or (None, None, None)), best and 1000 * best[1] // best[2],
+        sha("".join("%d,%d,%d\n" % r for r in runs)), sha(" ".join(w for k, w in enumerate(t) if k not in drop)),
+    )
+
+
+@pytest.mark.parametrize("least", [12, 20])
+def test_find_runs(least):
+    pick = random.Random(least)
+    for _ in range(400):
+        n, kinds = pick.randrange(1, 90), pick.choice([1, 2, 2, 3, 5])
+        t = [pick.randrange(kinds) for _ in range(n)]
+        for _ in range(pick.randrange(3)):
+            s, q = pick.randrange(n), pick.randrange(1, 20)
+            for i in range(s + q, min(n, s + q * pick.randrange(2, 6))):
+                t[i] = t[i - q]
+        start, end, q = periods.find_runs(np.array([*t, 99]), least)
+        assert list(zip(start.tolist(), (end - start).tolist(), q.tolist())) == brute_runs(t, least)
+
+
+def test_range_successor():
+    random_ = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 100):
+        values = random_.permutation(n).astype(np.int32)
+        tree = periods.WaveletTree(values)
+        low = random_.integers(0, n, 200)
+        high = np.minimum(low + random_.integers(0, n + 1, 200), n)
+        least = random_.integers(0, n + 2, 200)
+        want = [min((v for v in values[a:b].tolist() if v >= x), default=n) for a, b, x in zip(low, high, least)]
+        assert tree.successor(low, high, least).tolist() == want
+
+
+def periodic_rows(spark):
+    pick = random.Random(8)
+    text = lambda n, kinds: " ".join(f"w{pick.randrange(kinds)}" for _ in range(n))
+    line = text(9, 50)
+    rows = [(i, text(pick.randrange(0, 130), pick.choice([2, 3, 500]))) for i in range(120)]
+    rows += [(200, "\n".join([line] * 7)), (201, "la " * 500), (202, "x y " * 6 + "y x " * 6), (203, "A a " * 8), (204, "a " * 11), (205, "a " * 12),
+             (206, (text(40, 900) + " ") * 2), (207, "longer-than-eight-bytes " * 15 + "longer-than-eight-bytez"), (None, "b c d " * 5), (None, "b c d " * 5),
+             (208, None), (209, ""), (210, " \n\t"), (211, "é日 本 " * 9), (212, text(3000, 900) + " " + " ".join([text(700, 900)] * 3)), (7, "z " * 30)]
+    return spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, runs int").repartition(3)
+
+
+def test_op11(spark, tmp_path):
+    rows = periodic_rows(spark)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op11_internal_periods"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((expected(r.doc_id, r.text) for r in rows.collect()), key=str)
+
+
+def test_op11_on_the_awkward_documents(spark, folder, rows):
+    """The text of 6,000 words is left to the tests above: trying all its periods takes too long."""
+    got = {tuple(r) for r in QUERIES["op11_internal_periods"](spark, folder).collect()}
+    assert len(got) == len({(r.doc_id, r.text) for r in rows})
+    assert {g for g in got if g[0] != 407} == {expected(r.doc_id, r.text) for r in rows if r.doc_id != 407}
+
+
+def test_collapse_of_nothing(nothing):
+    assert periods.collapse(nothing).collect() == []
