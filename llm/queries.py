@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import archives, balance, convnet, lattice, minhash, periods, repeats, replytrees, resampling, rules, targeting, wumanber
+from llm import archives, balance, convnet, lattice, minhash, parity, periods, repeats, replytrees, resampling, rules, targeting, wumanber
 
 from llm.scratch import Scratch
 
@@ -164,6 +164,11 @@ def op11_internal_periods(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 0.85 similar or more."""
+    return parity.similarity_components(_read(spark, folder, "documents"), percent=85)
+
+
 def op13_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the documents, drawn by their likeness to the benchmark texts."""
     out = targeting.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
@@ -184,6 +189,7 @@ QUERIES = {
         op9_toxicity_cnn,
         op10_minhash_dedup,
         op11_internal_periods,
+        op12_parity_join,
         op13_crc_resampling,
     )
 }
@@ -192,6 +198,31 @@ _TRICKY = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
 _ORDER = "ORDER BY turn NULLS FIRST, role, text"
 
+
+
+def _components_sql(width: int, extra: str) -> str:
+    """Components of documents by the links of their shingle sets."""
+    return rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, CASE WHEN len(w) < {width} THEN w ELSE w[i : i + {width - 1}] END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {width - 2}))) AS i FROM words WHERE len(w) > 0)),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY ALL),
+    links AS MATERIALIZED (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * inter >= 85 * (x.n + y.n - inter)),
+    reach AS (
+        SELECT doc_id, doc_id AS node FROM documents
+        UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.node)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{extra}
+    FROM (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op4_reply_trees": f"""
     WITH turns AS (
@@ -205,6 +236,8 @@ ORACLES: dict[str, str] = {
             + length(replace({_ESCAPED.format('role')}, chr(10), '..')) + length({_ESCAPED.format('text')})) AS BIGINT)
             AS formatted_chars
     FROM turns GROUP BY conv_id""",
+    "op10_minhash_dedup": _components_sql(5, ", doc_id = component_id AS kept"),
+    "op12_parity_join": _components_sql(4, ""),
     "op13_crc_resampling": r"""
     WITH words AS (
         SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
