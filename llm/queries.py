@@ -134,13 +134,14 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _with_period(key: Column, text: Column) -> Column:
     """The text; where crc32 of the id divides by ten, its words from a place on repeat with a period, both given by the crc32."""
-    found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "")
+    found = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), "")
     h, n = F.crc32(key.cast("string").cast("binary")), F.size(found)
     g = F.floor(h / 10)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    word = lambda i: F.get(found, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int"))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise(text)
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+    # Whole arrays only: in a lambda function the text would be split again for each word.
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(found, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(found, F.lit(1), a), tail), " ")).otherwise(text)
 
 
 def op11_internal_periods(spark: SparkSession, folder: str) -> DataFrame:
