@@ -13,10 +13,10 @@ hot keys: they are left out by sets that have at most `spare` of them, since the
 any partner has more.  Sets with more such blocks keep them all, so no pair is lost.
 
 *Verification.*  A key of m sets first gives a star of m - 1 pairs.  Pairs are screened by the Hamming distance of a
-second sketch of two to four bits a token (folded to the shorter one's length), and confirmed on the full
-sets.  Linked sets form components.  Keys whose sets are then in one component are done; in the others stars
-from other centres follow, and after `rounds` all sets of different components are compared, in tiles of `TILE`
-sketches, and each pair that passes is confirmed.  Keys with the same sets are compared once.  So
+second sketch of two to four bits a token (first folded to 256 bits, then to the shorter one's length), and
+confirmed on the full sets.  Linked sets form components.  Keys whose sets are then in one component are done; in the others stars
+from other centres follow, and after `rounds` all sets of different components are compared, by a join in small groups and in tiles of `TILE`
+sketches in large ones, and each pair that passes is confirmed.  Keys with the same sets are compared once.  So
 every link between components is found, and a group of copies is never expanded into pairs.
 
 Texts with equal sets are one class and are joined through it.  Null, empty texts and texts without words have no
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
@@ -43,6 +43,11 @@ from llm.textops import mix, pieces
 WIDTH = 4
 #: Sketches that a task compares with another lot of as many.
 TILE = 512
+#: Groups of up to so many sets are compared by a join, larger ones in tiles.
+SMALL = 32
+#: Bits of the folded sketch that goes with a set as four numbers.
+SHORT = 256
+WORDS = ("s0", "s1", "s2", "s3")
 #: Ids that are sent to all tasks to pick their texts.
 BROADCAST = 200_000
 #: Ratio of the largest to the smallest size of a band, in tenths.
@@ -100,9 +105,9 @@ def block_keys(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, bands: Band
 
 
 def sketches(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches of sets as bytes, a power of two of at least two bits a token, and their offsets."""
+    """Parity sketches of sets as bytes, a power of two of at least two bits a token and `SHORT` bits, and their offsets."""
     size = np.diff(at)
-    bits = np.where(size > 0, 64 << np.ceil(np.log2(np.maximum(2 * size, 64) / 64)).astype(np.int64), 0)
+    bits = np.where(size > 0, SHORT << np.ceil(np.log2(np.maximum(2 * size, SHORT) / SHORT)).astype(np.int64), 0)
     base = np.concatenate(([0], np.cumsum(bits)))
     owner = np.repeat(np.arange(len(size)), size)
     bit = (mix(hashes, 25) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -148,9 +153,14 @@ def _prepare(width: int, percent: int):
                 sketch = pa.Array.from_buffers(
                     pa.binary(), j - i, [None, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(parity.tobytes())]
                 )
+                short = np.zeros((j - i, len(WORDS)), np.uint64)
+                if len(parity):
+                    lines = parity.view(np.uint64).reshape(-1, len(WORDS))
+                    short[size > 0] = np.bitwise_xor.reduceat(lines, where[:-1][size > 0] // (SHORT // 8), axis=0)
                 columns = [batch.column("id").slice(i, j - i), pa.array(size, pa.int64()), digest.cast(pa.binary()), sketch]
+                columns += [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in short.T]
                 columns.append(pa.ListArray.from_arrays(pa.array(bound), pa.array(keys.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "digest", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "digest", "sketch", *WORDS, "keys"])
 
     return run
 
@@ -169,8 +179,19 @@ def _matrices(batch: pa.RecordBatch, one: str, two: str) -> Iterator[tuple[np.nd
         yield rows, *found
 
 
+def short_gap(a: str = "a", b: str = "b") -> Column:
+    """The distance of two folded sketches, whose columns end in the names given."""
+    return sum((F.bit_count(F.col(f"{w}{a}").bitwiseXOR(F.col(f"{w}{b}"))) for w in WORDS[1:]), F.bit_count(F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))))
+
+
+def possible(percent: int) -> Column:
+    """`may_link` for rows with `na`, `nb` and folded sketches."""
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return fits & (short_gap() * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
 def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The `pairs (a, b)` whose sizes and sketches allow a link; `classes (node, n, sketch)`."""
+    """The `pairs (a, b)` whose sizes and sketches allow a link; `classes (node, n, sketch, s0 .. s3)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +202,22 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(may_link(na, nb, gap, percent))
             yield batch.select(["a", "b"]).filter(kept)
 
-    joined = pairs.join(classes.select("node", "n").toDF("a", "na"), "a").join(classes.select("node", "n").toDF("b", "nb"), "b")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    joined = joined.where(fits).select("a", "b", "na", "nb")
+    joined = pairs
+    for end in ("a", "b"):
+        joined = joined.join(classes.select("node", "n", *WORDS).toDF(end, f"n{end}", *(w + end for w in WORDS)), end)
+    joined = joined.where(possible(percent)).select("a", "b", "na", "nb")
     sketch = classes.select("node", "sketch")
     joined = joined.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def small_pairs(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """`(a, b)`, the pairs of different components in groups `left (grp, node, comp)` of a few sets that may link."""
+    rows = left.join(classes.select("node", "n", *WORDS), "node")
+    one, two = (rows.toDF(x, "grp", f"c{x}", f"n{x}", *(w + x for w in WORDS)) for x in ("a", "b"))
+    return one.join(two, "grp").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible(percent)).select("a", "b")
+
+
 def tile_pairs(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """`(a, b)`, all pairs of different components in a group of `left (grp, node, comp)` that sketches allow to link.
 
@@ -245,7 +274,7 @@ def tile_pairs(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         yield flush()
 
     out = dealt.mapInArrow(run, "a long, b long")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similarity_components(
@@ -258,11 +287,11 @@ def similarity_components(
     """
     scratch = Scratch(docs.sparkSession, "parity")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    schema = "id long, n_shingles long, digest binary, sketch binary, keys array<long>"
+    schema = "id long, n_shingles long, digest binary, sketch binary, s0 long, s1 long, s2 long, s3 long, keys array<long>"
     rows = scratch.save(texts.mapInArrow(_prepare(width, percent), schema), "rows")
     # One row for each class of equal sets, which have equal sketches and keys; its node is the smallest id.
     classes = rows.where("n_shingles > 0").groupBy("digest")
-    firsts = [F.first(c).alias(c) for c in ("sketch", "keys")]
+    firsts = [F.first(c).alias(c) for c in ("sketch", *WORDS, "keys")]
     classes = scratch.save(classes.agg(F.min("id").alias("node"), F.min("n_shingles").alias("n"), *firsts), "classes")
     members = scratch.save(rows.select("id", "n_shingles", "digest"), "members")
     scratch.drop("rows")
@@ -306,8 +335,11 @@ def similarity_components(
             # Buckets with the same sets are one group.
             same = [F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")]
             groups = left.groupBy("bucket").agg(*same).groupBy("many", "x", "y").agg(F.min("bucket").alias("bucket"))
-            group = left.join(groups.select("bucket"), "bucket").select(F.col("bucket").alias("grp"), "node", "comp")
-            pairs = tile_pairs(group, classes, percent)
+            group = left.join(groups.select("bucket", "many"), "bucket").select(F.col("bucket").alias("grp"), "node", "comp", "many")
+            group = scratch.save(group, "groups")
+            few, lots = (group.where(f"many {how} {SMALL}").drop("many") for how in ("<=", ">"))
+            few = few.select("node", "grp", "comp")
+            pairs = small_pairs(few, classes, percent).union(tile_pairs(lots, classes, percent))
         pairs = pairs.distinct()
         if tried is None:
             tried = settle(pairs, "0")

@@ -65,6 +65,7 @@ def test_op12_with_repeated_ids(spark, folder):
 def test_families_of_one_template(spark, monkeypatch):
     """Texts that share most of their blocks but link only in some pairs, compared in several tiles."""
     monkeypatch.setattr(parity, "TILE", 16)
+    monkeypatch.setattr(parity, "SMALL", 9)
     pick = random.Random(4)
     head, tail = ([f"{c}{i}" for i in range(30)] for c in "ht")
     rows = []
