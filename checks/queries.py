@@ -22,6 +22,7 @@ from wordloom.operators import denoise as DN
 from wordloom.operators import glove as G
 from wordloom.operators import ontology as ON
 from wordloom.operators import retrofit as R
+from wordloom.operators import strata as ST
 from wordloom.plans import pipelines as PL
 from wordloom.runtime import checkpoint, spread, table
 
@@ -435,7 +436,7 @@ def _(spark, d):
 @register("train_glove")
 def _(spark, d):
     pairs = checkpoint(_pairs(spark, d))
-    params = G.train_glove(pairs, dim=300, iterations=100, seed=1)
+    params = ST.train_glove(pairs, dim=300, iterations=100, seed=1)
     return params.select("word_id", V.combine(F.col("vec"), F.col("context_vec")).alias("vec"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,8 @@ from wordloom.functions import vectors as V
 from wordloom.operators import denoise as DN
 from wordloom.operators import glove as G
 from wordloom.operators import retrofit as R
+from wordloom.operators import strata as ST
+from wordloom.runtime import checkpoint_folder
 
 
 @pytest.fixture(scope="module")
@@ -123,60 +126,80 @@ def pairs(spark):
     return spark.createDataFrame(rows, "wi int, wj int, x double")
 
 
-def test_glove_lowers_the_loss_and_is_repeatable(pairs):
-    costs = []
-    params = G.train_glove(pairs, dim=4, iterations=6, eta=0.2, seed=3, on_iteration=lambda i, c: costs.append(c))
-    assert costs[-1] < 0.7 * costs[0]
-    again = G.train_glove(pairs.repartition(5), dim=4, iterations=6, eta=0.2, seed=3)
-    one, two = ({r.word_id: r.vec for r in p.collect()} for p in (params, again))
-    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
-    assert len(one[1]) == 5
+def test_glove_is_repeatable_and_releases_its_checkpoints(spark, pairs, monkeypatch):
+    monkeypatch.setattr(ST, "grid_side", lambda n, cores: 3)
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before, costs = set(folder.rglob("rdd-*")), []
+    params = ST.train_glove(pairs, dim=4, iterations=12, eta=0.2, seed=3, on_iteration=lambda i, c: costs.append((i, c)))
+    again = ST.train_glove(pairs.repartition(5), dim=4, iterations=12, eta=0.2, seed=3)
+    one, two = ({r.word_id: (r.vec, r.context_vec) for r in p.collect()} for p in (params, again))
+    assert one == two and len(one[1][0]) == len(one[1][1]) == 5
+    assert [i for i, _ in costs] == list(range(1, 13)) and costs[-1][1] < 0.5 * costs[0][1]
+    assert len(set(folder.rglob("rdd-*")) - before) == 2  # the last state of each of the two runs
+    with pytest.raises(ValueError):
+        ST.train_glove(pairs.limit(0))
 
 
-def test_glove_loss_and_gradient_steps(pairs, monkeypatch):
-    """The first updates equal those of a dense NumPy version, also over several shards."""
-    monkeypatch.setattr(G, "PAIRS_PER_SHARD", 60)
+def plain_adagrad(pairs, start, eta, passes, order=None):
+    """One pair after the other; `start` maps (kind, word) to vector and bias, and is changed."""
+    squares = {k: np.ones_like(v) for k, v in start.items()}
+    for _ in range(passes):
+        for i, j, x in order() if order else pairs:
+            w, c = start[0, i], start[1, j]
+            slope = min(1.0, (x / 100) ** 0.75) * (w[:-1] @ c[:-1] + w[-1] + c[-1] - math.log(x))
+            steps = [eta * np.clip(slope * np.append(v[:-1], 1.0), -ST.CLIP, ST.CLIP) for v in (c, w)]
+            for key, g in zip(((0, i), (1, j)), steps):
+                start[key] = start[key] - g / np.sqrt(squares[key])
+                squares[key] = squares[key] + g * g
+    return start
+
+
+def starting(words, contexts, dim, seed):
+    both = ((0, words), (1, contexts))
+    return {(kind, k): v for kind, ids in both for k, v in zip(ids, ST.starting_values(kind, np.array(ids), dim, seed))}
+
+
+def test_block_equals_one_pair_after_the_other():
+    """The batches of a block change what a plain loop over the same order changes, clipped pairs included."""
+    random_ = np.random.default_rng(4)
+    cells = random_.choice(20 * 33, 300, replace=False)
+    i, j, x = cells // 33, cells % 33, np.exp(random_.normal(2, 2, 300))
+    x[:5] = 1e40
+    start = starting(range(20), range(33), 3, 9)
+    w, c = (ST._packed(k, np.array([start[k, m] for m in range(n)])) for k, n in ((0, 20), (1, 33)))
+    args = i, j, np.log(x).astype(np.float32), np.minimum(1, (x / 100) ** 0.75).astype(np.float32)
+    w, c, costs = ST.train_block(w, c, *args, 0.5, 2, np.random.default_rng(7))
+    again = np.random.default_rng(7)
+    parts = ST.batches_of(i, j, 20, 33, again)
+    assert all(len(set(i[p])) == len(set(j[p])) == len(p) for p in parts) and sorted(np.concatenate(parts)) == list(range(300))
+    order = lambda: [(int(i[m]), int(j[m]), float(x[m])) for k in again.permutation(len(parts)) for m in parts[k]]
+    plain = plain_adagrad(None, start, 0.5, 2, order)
+    assert np.allclose(w[:, :4], [plain[0, k] for k in range(20)], atol=1e-3, rtol=1e-3)
+    assert np.allclose(c[:, [0, 1, 2, 4]], [plain[1, k] for k in range(33)], atol=1e-3, rtol=1e-3)
+    assert (w[:, 4] == 1).all() and (c[:, 3] == 1).all() and len(costs) == 2
+
+
+@pytest.mark.parametrize("side", [1, 4])
+def test_glove_gets_as_far_as_a_plain_run(pairs, side, monkeypatch):
+    monkeypatch.setattr(ST, "grid_side", lambda n, cores: side)
     rows = [(r.wi, r.wj, r.x) for r in pairs.collect()]
-    start = {(r.side, r.word_id): np.array(r.vec) for r in G.initial_state(pairs, 3, 9).collect()}
-    sq = {k: np.zeros(4) for k in start}
+    pick = random.Random(1)
+    start = starting(range(30), range(30), 8, 5)
+    plain = plain_adagrad(None, start, 0.05, 5, lambda: pick.sample(rows, len(rows)))
+    cost = sum(min(1.0, (x / 100) ** 0.75) * (plain[0, i][:-1] @ plain[1, j][:-1] + plain[0, i][-1] + plain[1, j][-1] - math.log(x)) ** 2 for i, j, x in rows)
+    got = G.glove_loss(pairs, ST.train_glove(pairs, dim=8, iterations=5, seed=5)).first()
+    assert got.n_pairs == len(rows) and got.loss < 1.2 * cost
+
+
+def test_glove_loss_over_several_shards(pairs, monkeypatch):
+    monkeypatch.setattr(G, "PAIRS_PER_SHARD", 60)
+    params = ST.train_glove(pairs, dim=3, iterations=1, seed=9)
+    at = {r.word_id: (np.array(r.vec), np.array(r.context_vec)) for r in params.collect()}
     loss = 0.0
-    for _ in range(2):
-        grad = {k: np.zeros(4) for k in start}
-        loss = 0.0
-        for i, j, x in rows:
-            w, c = start[0, i], start[1, j]
-            diff = w[:3] @ c[:3] + w[3] + c[3] - math.log(x)
-            f = min(1.0, (x / 100) ** 0.75)
-            loss += f * diff * diff
-            grad[0, i] += f * diff * np.append(c[:3], 1)
-            grad[1, j] += f * diff * np.append(w[:3], 1)
-        for k in start:
-            sq[k] += grad[k] ** 2
-            start[k] = start[k] - 0.05 * np.divide(grad[k], np.sqrt(sq[k]), where=sq[k] > 0, out=np.zeros(4))
-    params = G.train_glove(pairs, dim=3, iterations=2, seed=9)
-    for r in params.collect():
-        assert np.allclose(r.vec, start[0, r.word_id]) and np.allclose(r.context_vec, start[1, r.word_id])
-    before = G.train_glove(pairs, dim=3, iterations=1, seed=9)
-    got = G.glove_loss(pairs, before).first()
-    assert got.n_pairs == len(rows) and got.loss == pytest.approx(loss)
-
-
-def test_glove_clips_pairs_and_not_their_sum(spark):
-    """One word with 400 contexts: its summed gradient is over the bound, those of its pairs are not."""
-    x = np.array([50.0 + j % 50 for j in range(400)])
-    pairs = spark.createDataFrame([(0, j, float(x[j])) for j in range(400)], "wi int, wj int, x double")
-    start = {(r.side, r.word_id): np.array(r.vec) for r in G.initial_state(pairs, 3, 9).collect()}
-    w, c = start[0, 0], np.stack([start[1, j] for j in range(400)])
-    sums = [np.zeros_like(w), np.zeros_like(c)]
-    for _ in range(2):
-        step = (x / 100) ** 0.75 * (c[:, :3] @ w[:3] + c[:, 3] + w[3] - np.log(x))
-        gw = step @ np.c_[c[:, :3], np.ones(400)]
-        gc = step[:, None] * np.append(w[:3], 1)
-        assert abs(gw).max() > G.CLIP > abs(gc).max()
-        sums = [s + g * g for s, g in zip(sums, (gw, gc))]
-        w, c = (v - 0.05 * g / np.sqrt(s) for v, g, s in zip((w, c), (gw, gc), sums))
-    params = {r.word_id: r for r in G.train_glove(pairs, dim=3, iterations=2, seed=9).collect()}
-    assert np.allclose(params[0].vec, w, rtol=1e-6) and np.allclose(params[7].context_vec, c[7], rtol=1e-6)
+    for r in pairs.collect():
+        w, c = at[r.wi][0], at[r.wj][1]
+        loss += min(1.0, (r.x / 100) ** 0.75) * (w[:3] @ c[:3] + w[3] + c[3] - math.log(r.x)) ** 2
+    assert G.glove_loss(pairs, params).first().loss == pytest.approx(loss)
 
 
 def test_vector_functions(spark):

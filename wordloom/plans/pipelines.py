@@ -25,7 +25,8 @@ from wordloom.operators.corpus import (
     token_streams,
 )
 from wordloom.operators.denoise import denoise
-from wordloom.operators.glove import output_vectors, train_glove
+from wordloom.operators.glove import output_vectors
+from wordloom.operators.strata import train_glove
 from wordloom.operators.ontology import GROUP_SUFFIX, PRUNED_LABELS, ROOT_LABEL, group_tokens, leaf_paths, ontology_groups
 from wordloom.operators.retrofit import retrofit, sums_from_groups
 from wordloom.runtime import checkpoint, write_stage
