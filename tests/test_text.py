@@ -1,6 +1,8 @@
 """Golden cases of cleaning, tokenising, tagging and stemming."""
 
 import html
+import random
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,21 @@ def test_unescape_all_entities(spark):
     assert got == [[t if t is None else html.unescape(t) for t in texts], None, []]
 
 
+def test_unescape_every_name_and_number(spark):
+    """Equal to the standard library for all names, with and without semicolon, and no Python in the plan."""
+    pick = random.Random(1)
+    texts = [t for n in html5 for t in (f"a &{n} b", f"&{n}x", f"&{n.rstrip(';')}", f"&{n};;&{n}")]
+    edges = [0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000]
+    for n in [*range(0x180), *edges, 9_999_999, 10**8, 10**30]:
+        texts += [f"x&#{n};y", f"&#{n}", f"&#x{n:x};", f"&#X{n:X}z", f"&#000{n};", f"&#x0000{n:x}"]
+    texts += ["", "&", "&&", "& amp;", "&#;", "&#x;", "&#xg;", "&;", "&ampamp;", "&\tamp;", "&" + "a" * 40 + ";", "&amp" * 3, "&#٣;", "&lt&gt&#60&#x3c"]
+    parts = ["&", "#", "x", "1", "9", ";", "amp", "not", "in", "lt", "é", " ", "a"]
+    texts += ["".join(pick.choice(parts) for _ in range(pick.randrange(14))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", C.unescape_html(F.col("s")).alias("x"))
+    assert [(r.s, r.x) for r in df.collect() if r.x != html.unescape(r.s)] == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clean_text(spark):
     text = "&lt;b&gt;Mix&lt;/b&gt; 1-2 cups all-purpose flour & 12.5% cream; don't use www.x.com/y £3.50!! a_b"
     assert apply(spark, C.clean_text, [text, None, ""]) == [

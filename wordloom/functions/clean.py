@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import html5
+from zlib import crc32
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordloom.functions import patterns as P
 
 Cleaner = Callable[[Column], Column]
 
-# Entities that are decoded inside the JVM.  "&amp;" comes last, so that the text it
-# uncovers is not decoded a second time.
+# The entities of `all_entities=False`.  "&amp;" comes last, so that the text it uncovers is not decoded again.
 COMMON_ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -28,8 +26,11 @@ COMMON_ENTITIES = (
     ("&middot;", "·"),
     ("&amp;", "&"),
 )
-# An ampersand that may start some other character reference.
-_OTHER_ENTITY = "&(?!(?:lt|gt|quot|apos|#39|nbsp|copy|middot|amp);)[#A-Za-z]"
+# Named references are looked up in so many small maps; a lookup in a map reads it from the start.
+_NAME_MAPS = 64
+_NAME = r"^[^\t\n\f <&#;]{1,32};?"
+_DECIMAL, _HEX = "^#0*([0-9]*);?", "^#[xX]0*([0-9a-fA-F]*);?"
+_UNKNOWN = "\ufffd"
 
 
 def decode_common_entities(c: Column) -> Column:
@@ -37,35 +38,73 @@ def decode_common_entities(c: Column) -> Column:
     return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES, c)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _code_point(n: Column) -> Column:
+    """The text of a numeric reference: as in the standard, 128 to 159 stand for a byte of code page 1252."""
+    bytes_ = [bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)]
+    low = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(0x3F)) + F.lit(0x80)
+    # The bytes of UTF-8 as one number.
+    two = (F.shiftright(n, 6) + F.lit(0xC0)) * 0x100 + low(0)
+    three = (F.shiftright(n, 12) + F.lit(0xE0)) * 0x10000 + low(6) * 0x100 + low(0)
+    four = (F.shiftright(n, 18) + F.lit(0xF0)) * 0x1000000 + low(12) * 0x10000 + low(6) * 0x100 + low(0)
+    number = F.when(n < 0x80, n).when(n < 0x800, two).when(n < 0x10000, three).otherwise(four)
+    control = n.between(0x1, 0x8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F)
+    no_character = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), _UNKNOWN)
+        .when(n.between(0x80, 0x9F), F.get(F.lit(bytes_), (n - 0x80).cast("int")))
+        .when(control | no_character, "")
+        .otherwise(F.decode(F.unhex(F.hex(number)), "UTF-8"))
+    )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape_each(lists: pd.Series) -> pd.Series:
-    return lists.map(
-        lambda items: [i if i is None else html.unescape(i) for i in items], na_action="ignore"
+def _numeric_reference(p: Column, pattern: str, base: int, longest: int) -> Column:
+    digits = F.regexp_extract(p, pattern, 1)
+    number = F.conv(digits, base, 10).cast("long")
+    text = F.when(digits == "", _UNKNOWN).when(F.length(digits) > longest, _UNKNOWN).otherwise(_code_point(number))
+    return F.concat(text, F.substr(p, F.length(F.regexp_extract(p, pattern, 0)) + 1))
+
+
+def _named_reference(p: Column) -> Column:
+    """The longest name counts: all of it up to the semicolon, or else the longest old name without one."""
+    maps = [[] for _ in range(_NAME_MAPS)]
+    for name, text in html5.items():
+        maps[crc32(name.encode()) % _NAME_MAPS].append(f"{name}\x02{text}")
+    # Folded to one literal by the optimizer.
+    tables = F.array(*(F.str_to_map(F.lit("\x01".join(m)), F.lit("\x01"), F.lit("\x02")) for m in maps))
+    old = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+    start = f"^({'|'.join(old)})"
+    find = lambda name: F.get(tables, F.pmod(F.crc32(name.cast("binary")), F.lit(_NAME_MAPS)).cast("int"))[name]
+    rest = lambda name: F.substr(p, F.length(name) + 1)
+    name, short = F.regexp_extract(p, _NAME, 0), F.regexp_extract(p, start, 1)
+    whole = F.concat(find(name), rest(name))
+    part = F.when(short != "", F.concat(find(short), rest(short)))
+    return F.coalesce(whole, part, F.concat(F.lit("&"), p))
+
+
+def _after_ampersand(p: Column) -> Column:
+    """What follows an ampersand, up to the next one, with the reference that it may start with."""
+    return (
+        F.when(p.rlike("^#[0-9]"), _numeric_reference(p, _DECIMAL, 10, 7))
+        .when(p.rlike("^#[xX][0-9a-fA-F]"), _numeric_reference(p, _HEX, 16, 6))
+        .otherwise(_named_reference(p))
     )
 
 
 def unescape_html(c: Column, all_entities: bool = True) -> Column:
-    """Decode HTML5 character references.
+    """Decode HTML5 character references, all in the JVM.
 
-    Common entities are decoded in the JVM.  Only a text with some other reference is
-    sent to Python; every other row sends a NULL.
+    A reference holds no second ampersand, so the text is split at them and each part decoded on its own.
     """
-    common = decode_common_entities(c)
     if not all_entities:
-        return common
-    return F.coalesce(_unescape(F.when(c.rlike(_OTHER_ENTITY), c)), common)
+        return decode_common_entities(c)
+    parts = F.split(c, "&", -1)
+    decoded = F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _after_ampersand), "")
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(parts, 0), decoded)).otherwise(c)
 
 
 def unescape_html_each(sentences: Column) -> Column:
     """C1 on an array of sentences."""
-    rare = F.exists(sentences, lambda s: s.rlike(_OTHER_ENTITY))
-    common = F.transform(sentences, decode_common_entities)
-    return F.coalesce(_unescape_each(F.when(rare, sentences)), common)
+    return F.transform(sentences, lambda s: unescape_html(s))
 
 
 def remove_html_tags(c: Column) -> Column:
