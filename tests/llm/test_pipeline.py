@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from __spark_entry__ import oracle_sql, queries
 from llm import rules
@@ -8,7 +10,7 @@ from test_dedup import shingles, without
 
 
 def test_registered():
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {k.split("_")[0] for k in queries()}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {k.split("_")[0] for k in queries()}
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -20,26 +22,28 @@ def test_stages(spark, folder, documents):
     assert {r.doc_id for r in first} == strict and 400 not in strict and 100 in strict
 
     near = P.near_duplicates(spark, kept, folder)
-    second = near.collect()
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    second = near.withColumn("mark", mark).collect()
     ids = [r.doc_id for r in second]
-    assert len(ids) == len(set(ids)) and 100 in ids and not {101, 111, 200, 211} & set(ids)
-    sets = {r.doc_id: shingles(r.text) for r in second}
-    assert not any(100 * len(x & y) >= 80 * len(x | y) for a, x in sets.items() for b, y in sets.items() if a != b and x)
+    # Id 5 has two different texts, which are documents of their own.
+    assert len(ids) == len(set(ids)) + 1 and ids.count(5) == 2 and 100 in ids and not {101, 111, 200, 211} & set(ids)
+    sets = [shingles(r.text) for r in second]
+    assert not any(100 * len(x & y) >= 80 * len(x | y) for k, x in enumerate(sets) for y in sets[:k] if x)
 
     cut = P.repeated_strings(spark, near, folder)
-    third = {r.doc_id: r for r in cut.collect()}
-    assert set(third) == set(ids)
+    third = cut.collect()
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in third)
 
     class Row:
         def __init__(self, r):
-            self.id, self.mark, self.text = -1 if r.doc_id is None else r.doc_id, 0, r.text or ""
+            self.id, self.mark, self.text = -1 if r.doc_id is None else r.doc_id, r.mark, r.text or ""
 
     for (k, _), (_, _, left) in without([Row(r) for r in second], 100).items():
-        text = third[None if k == -1 else k].text
+        texts = [r.text or "" for r in third if r.doc_id == (None if k == -1 else k)]
         try:
-            assert text == left.decode()
+            assert left.decode() in texts
         except UnicodeDecodeError:
-            assert len(text.encode()) >= len(left)
+            assert any(len(t.encode()) >= len(left) for t in texts)
 
     clean = P.decontamination(spark, cut, folder)
     assert 3 not in {r.doc_id for r in clean.collect()} and clean.columns == list(P.COLUMNS)
