@@ -251,9 +251,14 @@ def near_duplicates(
     classes = scratch.save(
         classes.agg(F.min("id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    keys = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    # Bands are half of what these tables hold and are read once more only: kept without them from here on.
+    banded, sketches = classes, scratch.save(sketches.drop("bands"), "texts-of-classes")
+    scratch.drop("sketches")
+    keys = banded.select("node", "n", F.explode("bands").alias("bucket"))
     stars = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("many")).where("many > 1")
     members = scratch.save(keys.join(stars.drop("many"), "bucket"), "members")
+    classes = scratch.save(banded.drop("bands"), "nodes")
+    scratch.drop("classes")
 
     def settle(pairs: DataFrame, name: str) -> DataFrame:
         return scratch.save(confirm(pairs, texts, width, percent), name)
@@ -284,6 +289,7 @@ def near_duplicates(
         return scratch.save(now.join(mixed.select("bucket"), "bucket"), name)
 
     left = unsettled(members.select("bucket", "node", "n"), comps, "open-0")
+    scratch.drop("members", "first")
     for turn in range(1, rounds + 2):
         if left.isEmpty():
             break
@@ -297,9 +303,12 @@ def near_duplicates(
             pairs = rare_pairs(texts.join(nodes.withColumnRenamed("node", "id"), "id"), width, percent)
         tried = settle(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), f"tried-{turn}")
         near = scratch.save(near.union(tried), f"near-{turn}")
+        scratch.drop(f"near-{turn - 1}", f"tried-{turn}", *(["tried-0"] if turn == 1 else []))
         comps = components(near.where("linked").select("a", "b").union(through), scratch, f"stars-{turn}")
         if turn <= rounds:
             left = unsettled(left, comps, f"open-{turn}")
+            scratch.drop(f"open-{turn - 1}")
+    scratch.drop("texts")
     # Classes that are more than one text, or joined to others, get a row; all else is itself.
     nodes = classes.select("digest", "node").join(comps.toDF("node", "comp"), "node", "left")
     nodes = nodes.select("digest", F.coalesce("comp", "node").alias("comp"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Lists that note the folders made at present, see `collected`.
+_NOTED: list[list] = []
+
+
+@contextmanager
+def collected(made: list) -> Iterator[None]:
+    """Note in `made` the scratch folders that are made inside."""
+    _NOTED.append(made)
+    try:
+        yield
+    finally:
+        _NOTED.remove(made)
+
+
+def drop_unread(made: list, docs: DataFrame) -> None:
+    """Delete the folders of `made` of which `docs` reads no file, and take them from the list."""
+    files = docs.inputFiles()
+    for scratch in list(made):
+        if not any(scratch.name in f for f in files):
+            scratch.drop("")
+            made.remove(scratch)
+
+
 class Scratch:
     """A folder of tables for one run of an operator.
 
@@ -34,7 +59,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+        self.name = f"llm-{name}-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{self.name}"
+        for made in _NOTED:
+            made.append(self)
         path = self._path(self.folder)
         fs = self._fs(path)
         fs.mkdirs(path)

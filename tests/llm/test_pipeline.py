@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -79,3 +81,14 @@ def test_run_on_an_empty_table(spark, nothing):
 def test_run(spark, folder):
     out = P.run(spark, folder).collect()
     assert out and all(r.taken == r.copies * r.size for r in out)
+
+
+def test_stages_delete_the_tables_of_earlier_ones(spark, documents, folder, tmp_path):
+    near = P.near_duplicates(spark, documents, folder)
+    made = {s.folder for s in P._MADE["near_duplicates"]}
+    there = lambda f: Path(f.removeprefix("file:")).exists()
+    P.repeated_strings(spark, near, folder)  # reads them still
+    assert made and any(map(there, made))
+    near.write.parquet(f"{tmp_path}/near")
+    P.decontamination(spark, spark.read.parquet(f"{tmp_path}/near"), folder)
+    assert not any(map(there, made)) and P._MADE["near_duplicates"] == []
