@@ -6,21 +6,48 @@ Between stages the documents are written as Parquet and read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import balance, minhash, repeats, rules, wumanber
-from llm.scratch import Scratch
+from llm.scratch import Scratch, collected, drop_unread
 
 #: Columns of `documents`; all stages but the last return these.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders that each stage made.
+_MADE: dict[str, list[Scratch]] = {}
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage that first deletes the tables of the stages before it, unless its `docs` still read them.
+
+    So the result of a stage must be written before the next but one is called, as `run` does.
+    """
+
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [name for name, _ in STAGES]
+        for before in names[: names.index(f.__name__)]:
+            drop_unread(_MADE.get(before, []), docs)
+        with collected(_MADE.setdefault(f.__name__, [])):
+            return f(spark, docs, sf_dir)
+
+    return stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the strict policy rejects."""
     return rules.ledger(docs).where(rules.passes(rules.STRICT)).select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies, the one with the smallest id.
 
@@ -42,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut what repeats an earlier string of 100 bytes, in whole characters; `n_chars` follows."""
     cut = repeats.without_repeats(docs.select("doc_id", "text"), 100).select("id", "mark", "kept")
@@ -53,12 +81,14 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select("doc_id", F.col("left").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a ten-word window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return wumanber.decontaminate(docs.select(*COLUMNS), items).where("n_hit = 0").select(*COLUMNS)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add how often the mix takes each document, `copies`, so that sources meet their targets."""
     return balance.mix(docs.select(*COLUMNS))
@@ -80,6 +110,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table, each written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for (before, _), (name, stage) in zip([("", None), *STAGES], STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)  # read by no later stage
     return STAGES[-1][1](spark, docs, sf_dir)
