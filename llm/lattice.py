@@ -9,6 +9,8 @@ of the training documents are counted over the whole corpus, and rounds of expec
 (forward and backward over each different word, weighted by its count) give each piece its
 expected share.  Nothing is pruned, added or renamed: the vocabulary stays as it is.  Letters without
 a piece are spelled by the pieces of their UTF-8 bytes, so every text has a probability above zero.
+Texts are taken in slices of `SLICE` bytes (or one text); the different words of a slice run through the
+recursion together, those of more than `LONG` letters one by one.
 
 *Base.*  Next to it, each text has a base score by whole words: log10((c + 0.5) / (N + 0.5 * (V + 1))).
 Counts of the `FREQUENT` most frequent words are sent to all tasks (so many words at most, and
@@ -22,22 +24,22 @@ documents every count is 0 and the pieces keep their first shares.  Other column
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.scratch import Scratch
+from llm.trellis import CHUNK, Layout, Trie
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT, WORD_BYTES = 100_000, 64
 ROUNDS = 2
 SPACE = "▁"
-#: Words of a task whose scores are kept at the same time.
-CACHE = 200_000
+SLICE, LONG = 16 << 20, 64
 #: What each piece has besides its expected count, so none is impossible.
 PRIOR = 0.01
 
@@ -142,6 +144,60 @@ class Lattice:
                         counts[self.spelled[byte]] += share
 
 
+class Words:
+    """The sums of `Lattice` for lists of words."""
+
+    def __init__(self, pieces: list[str], spelled: list[int], shares: np.ndarray):
+        self.one = Lattice(pieces, spelled, shares)
+        self.trie = Trie(pieces)
+        self.logs = np.log(np.maximum(shares[: len(pieces)], 1e-300))
+
+    def _layouts(self, words: list[str]) -> Iterator[tuple[np.ndarray, Layout, np.ndarray]]:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= LONG]
+        for k in range(0, len(order), CHUNK):
+            part = order[k : k + CHUNK]
+            layout = Layout([SPACE + words[i] for i in part.tolist()], self.trie)
+            odd = [sum(self.one.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in layout.odd.tolist()]
+            yield part, layout, np.concatenate([self.logs, odd])
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """log10 of the marginal probability of each word."""
+        out = np.empty(len(words))
+        for part, layout, logs in self._layouts(words):
+            out[part[layout.order]] = layout.totals(layout.forward(logs, layout.arcs())) / math.log(10)
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                out[i] = self.one.score(word)
+        return out
+
+    def expect(self, words: list[str], weights: np.ndarray, counts: np.ndarray) -> None:
+        """Add the expected number of each piece in so many copies of the words."""
+        for part, layout, logs in self._layouts(words):
+            found = layout.expected(logs, weights[part])
+            counts += found[: len(counts)]
+            for letter, n in zip(layout.odd.tolist(), found[len(counts) :]):
+                for byte in chr(letter).encode("utf-8", "surrogatepass"):
+                    counts[self.one.spelled[byte]] += n
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                self.one.expect(word, float(weights[i]), counts)
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have at most so many bytes, or are one text."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if total and total + n > size:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def lower(text: Column) -> Column:
     capital = "".join(map(chr, range(65, 91)))
     return F.translate(text, capital, capital.lower())
@@ -168,12 +224,9 @@ def train(counts: DataFrame, texts: int, path: str = VOCABULARY, rounds: int = R
         shared = spark.sparkContext.broadcast(shares)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(pieces, spelled, shared.value)
-            counts = [0.0] * len(pieces)
+            net, counts = Words(pieces, spelled, shared.value), np.zeros(len(pieces))
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    lattice.expect(word, c, counts)
-            counts = np.array(counts)
+                net.expect(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), counts)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["piece", "n"])
 
@@ -211,46 +264,48 @@ def score(
     shares = spark.sparkContext.broadcast(train(counts, texts, path, rounds))
     short = counts.where(F.octet_length("word") <= WORD_BYTES)
     most = short.orderBy(F.desc("c"), "word").limit(frequent)
-    known = spark.sparkContext.broadcast({r.word: r.c for r in most.toLocalIterator()})
-    least = min(known.value.values(), default=0)
+    found = [(r.word, r.c) for r in most.toLocalIterator()]
+    least = min((c for _, c in found), default=0)
     pieces, spelled = load_pieces(path)
+    words = [w for w, _ in found]
+    base = np.log10(np.array([c for _, c in found], dtype=float) + 0.5) - below
+    known = spark.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, base, Words(pieces, spelled, shares.value).score(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces, spelled, shares.value)
-        frequent = known.value
-        base = {w: math.log10(c + 0.5) - below for w, c in frequent.items()}
+        net = Words(pieces, spelled, shares.value)
+        places, bases, marginals = known.value
         end = math.log10(texts + 0.5) - below
-        cache = {}
-        spaces = str.maketrans("\t\n\x0b\x0c\r", "     ")
-        capitals = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
         for batch in batches:
-            out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "rare")}
-            for text in batch.column("text"):
-                words = text.as_py().translate(capitals).translate(spaces).split(" ")
-                counted = Counter(words)
-                counted.pop("", None)
-                tokens, known_here, base_sum, marginal, rare = 1, int(texts > 0), end, lattice.end, []
-                for word, n in counted.items():
-                    tokens += n
-                    b = base.get(word)
-                    if b is None:
-                        rare.append((word, n))
-                    else:
-                        known_here += n
-                        base_sum += n * b
-                    s = cache.get(word)
-                    if s is None:
-                        s = lattice.score(word)
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        if len(word) <= WORD_BYTES:
-                            cache[word] = s
-                    marginal += n * s
-                for c, x in zip(out, (tokens, known_here, base_sum, marginal, rare)):
-                    out[c].append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            arrays = [pa.array(x, k) for x, k in zip(out.values(), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], ["doc_id", "held_out", *out])
+            for part in slices(batch):
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text")))
+                row, words = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+                real = pc.not_equal(words, "")
+                row, words = row[real.to_numpy(zero_copy_only=False)], words.filter(real).dictionary_encode()
+                code, words = words.indices.to_numpy(), words.dictionary
+                different = words.to_pylist()
+                place = np.fromiter((places.get(w, -1) for w in different), dtype=np.int64, count=len(different))
+                frequent, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+                base_of, score_of = np.zeros(len(different)), np.empty(len(different))
+                base_of[frequent], score_of[frequent] = bases[place[frequent]], marginals[place[frequent]]
+                score_of[rare] = net.score([different[k] for k in rare.tolist()])
+                n = part.num_rows
+                total = lambda weights: np.bincount(row, weights, n)  # noqa: E731, B023
+                is_known = place[code] >= 0
+                other = np.flatnonzero(~is_known)
+                pairs, times = np.unique(row[other].astype(np.int64) * max(1, len(different)) + code[other], return_counts=True)
+                rare_row, rare_code = np.divmod(pairs, max(1, len(different)))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))]).astype(np.int32)
+                left = pa.StructArray.from_arrays([words.take(pa.array(rare_code)), pa.array(times)], ["word", "n"])
+                arrays = {
+                    "doc_id": part.column("doc_id"),
+                    "held_out": part.column("held_out"),
+                    "n_tokens": pa.array(np.bincount(row, minlength=n) + 1),
+                    "n_known": pa.array(total(is_known).astype(np.int64) + int(texts > 0)),
+                    "base_score": pa.array(total(base_of[code]) + end),
+                    "score": pa.array(total(score_of[code]) + net.one.end),
+                    "rare": pa.ListArray.from_arrays(pa.array(offsets), left),
+                }
+                yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:string,n:bigint>>"

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import math
+import random
 import re
 import zipfile
 import zlib
@@ -255,6 +256,51 @@ def test_op6(spark, folder, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_op6_scores_whole_texts(spark, folder, rows):
+    """Against sums over all segmentations by plain recursion, text by text."""
+    pieces, spelled = lattice.load_pieces(lattice.VOCABULARY)
+    learned = spark.createDataFrame([(r.text,) for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1], "text string")
+    shares = lattice.train(lattice.count_words(learned), learned.count())
+    share, longest = {p: shares[i] for i, p in enumerate(pieces) if p}, max(map(len, pieces))
+
+    def score(word):
+        ways = [0.0]  # log of the sum over the ways to each place
+        for j in range(1, len(word) + 1):
+            found = [ways[i] + math.log(share[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in share]
+            if word[j - 1] not in share:
+                found.append(ways[j - 1] + sum(math.log(shares[spelled[b]]) for b in word[j - 1].encode()))
+            ways.append(max(found) + math.log(sum(math.exp(x - max(found)) for x in found)))
+        return ways[-1] / math.log(10)
+
+    every = {w: score("▁" + w) for r in rows for w in spaced(lower(r.text))}
+    got = run(spark, folder, 6)
+    want = [(r.doc_id, len(spaced(lower(r.text))) + 1, sum(every[w] for w in spaced(lower(r.text))) + math.log10(shares[-1])) for r in rows]
+    key = lambda x: (str(x[0]), x[1], x[2])
+    for (i, n, x), (j, m, y) in zip(sorted(want, key=key), sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key), strict=True):
+        assert (i, n) == (j, m) and x == pytest.approx(y, rel=1e-6)
+
+
+def test_words_together_and_one_by_one():
+    pieces, spelled = lattice.load_pieces(lattice.VOCABULARY)
+    pick = random.Random(3)
+    words = ["".join(pick.choice("etaoinsr日é\U0001f600") for _ in range(pick.randrange(1, 12))) for _ in range(500)]
+    words += ["x" * 64, "x" * 65, "日" * 80, "a", "a"]
+    net = lattice.Words(pieces, spelled, lattice.first_shares(pieces, spelled))
+    assert np.allclose(net.score(words), [net.one.score(w) for w in words], rtol=1e-12)
+    weights, got, want = np.arange(1.0, len(words) + 1), np.zeros(len(pieces)), np.zeros(len(pieces))
+    net.expect(words, weights, got)
+    for word, n in zip(words, weights):
+        net.one.expect(word, n, want)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert net.score([]).size == 0
+
+
+def test_slices_keep_all_texts():
+    texts = ["", "a" * 9, "b" * 30, "", "c" * 4, "d" * 5, "e"]
+    parts = list(lattice.slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 10))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts and [p.num_rows for p in parts] == [2, 1, 4]
+
+
 def test_lattice_sums_over_all_segmentations():
     pieces = ["", "▁", "a", "b", "ab", "▁a", "ba"]
     share = np.array([0.05, 0.2, 0.15, 0.15, 0.15, 0.1, 0.1, 0.1])
