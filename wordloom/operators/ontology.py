@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,56 +13,100 @@ from wordloom.functions.tokens import plain_sql, tokenize
 from wordloom.functions.wordlists import MORE_STOP_WORDS, STOP_WORDS
 from wordloom.operators.bigrams import join_bigrams
 from wordloom.operators.lookup import match_elements
-from wordloom.runtime import BROADCAST_ROWS, checkpoint
+from wordloom.runtime import BROADCAST_ROWS, checkpoint, fits, release
 
 # Root and branches of the food ontology, and the ending of a group label.
 ROOT_LABEL = "food material"
 PRUNED_LABELS = ("agency food product type", "food material by process", "multi-component food")
 GROUP_SUFFIX = "food product"
 
+# Leaves of one parent that one task reads; more are dealt over several.
+CROWD = 100_000
+
+# States of a way up: not at the root yet, at the root, meeting itself.
+OPEN, CLOSED, CYCLE = 0, 1, 2
+
 
 def leaf_paths(
     nodes: DataFrame,
     edges: DataFrame,
     root_label: str = ROOT_LABEL,
     pruned: Sequence[str] = PRUNED_LABELS,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """`(leaf_id, path)` for each way from the root to a leaf.
 
     `nodes` is `(id, label)`, `edges` is `(child, parent)`.  F11: no path goes through a
-    pruned label, and a node with pruned children only is not a leaf.  One join with the
-    edges for each level, as many as there are; the paths of a level are checkpointed, and a
-    cycle is an error.
+    pruned label, and a node with pruned children only is not a leaf.  The ways from inner nodes
+    up to the root are closed by doubling (`root_paths`); leaves, the bulk of an ontology, are
+    joined once with the ways of their parents.  The leaves of a parent with more than `crowd`
+    are dealt over several tasks.  A cycle below the root is an error.
     """
-    nodes = nodes.select("id", "label")
     edges = edges.select("child", "parent").distinct()
-    parents = edges.select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
-    labelled = nodes.join(parents, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    parents = edges.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+    labelled = nodes.select("id", "label").join(parents, "id", "left")
     if pruned:
         labelled = labelled.where(~F.col("label").isin(*pruned))
     labelled = checkpoint(labelled)
-    steps = checkpoint(
-        edges.join(labelled.withColumnRenamed("id", "child"), "child").select(
-            F.col("parent").alias("node"), F.col("child"), "label", "inner"
-        )
+    inner = labelled.where("children IS NOT NULL")
+    leaves = labelled.where("children IS NULL").select("id", "label")
+    ways = root_paths(inner.select("id", "label"), edges, root_label)
+
+    # At most one parent for every `crowd` edges, so the table is small against the edges.
+    crowded = inner.where(F.col("children") > crowd).select(
+        F.col("id").alias("parent"), F.ceil(F.col("children") / crowd).cast("int").alias("parts")
+    ).distinct()
+    way_parts = ways.join(crowded.withColumnRenamed("parent", "node"), "node", "left").select(
+        F.col("node").alias("parent"), "labels", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
+    few = F.broadcast(crowded) if fits(crowded, BROADCAST_ROWS) else crowded
+    dealt = edges.join(few, "parent", "left").withColumn(
+        "part", F.pmod(F.xxhash64("child"), F.coalesce("parts", F.lit(1))).cast("int")
+    )
+    below = dealt.join(leaves.withColumnRenamed("id", "child"), "child").join(way_parts, ["parent", "part"])
+    below = below.select(F.col("child").alias("leaf_id"), F.concat(F.reverse("labels"), F.array("label")).alias("path"))
+    alone = leaves.where(F.col("label") == root_label)
+    return below.union(alone.select("id", F.array("label")))
+
+
+def root_paths(nodes: DataFrame, edges: DataFrame, root_label: str = ROOT_LABEL) -> DataFrame:
+    """`(node, labels)` for each way from a node up to the root, labels from the node upwards.
+
+    Round k holds the ways up of exactly 2^k steps (`OPEN`) and those of fewer steps that end at the
+    root (`CLOSED`).  Open ways joined with both give the next round, each way once, so a
+    hierarchy of n levels takes about log2(n) joins.  Ways that meet themselves are not followed; they
+    mark a node on a cycle, and it is an error when the root leads to such a node.
+    """
+    first = edges.join(nodes.withColumnRenamed("id", "child"), "child").select(
+        F.col("child").alias("node"), F.col("parent").alias("top"), F.array("child").alias("ids"), F.array("label").alias("labels"),
+        F.lit(OPEN).alias("state"),
     )
-    level = labelled.where(F.col("label") == root_label).select(
-        F.col("id").alias("node"), F.array("id").alias("ids"), F.array("label").alias("path"), "inner"
+    roots = nodes.where(F.col("label") == root_label)
+    first = first.union(
+        roots.select(F.col("id").alias("node"), F.col("id").alias("top"), F.array("id"), F.array("label"), F.lit(CLOSED))
     )
-    done = []
+    state = checkpoint(first)
     while True:
-        done.append(level.where(~F.col("inner")).select(F.col("node").alias("leaf_id"), "path"))
-        nxt = level.where("inner").select("node", "ids", "path").join(steps, "node")
-        ids = F.when(~F.array_contains("ids", F.col("child")), F.concat("ids", F.array("child")))
-        nxt = nxt.select(
-            F.col("child").alias("node"), ids.alias("ids"), F.concat("path", F.array("label")).alias("path"), "inner"
+        going, cyclic = state.agg(F.count_if(F.col("state") == OPEN), F.count_if(F.col("state") == CYCLE)).first()
+        closed = state.where(F.col("state") == CLOSED)
+        if cyclic and not closed.join(state.where(F.col("state") == CYCLE).select("node"), "node", "left_semi").isEmpty():
+            raise ValueError("the ontology has a cycle below its root")
+        if not going:
+            return closed.select("node", "labels")
+        upper = state.where(F.col("state") != CYCLE).select(
+            F.col("node").alias("top"), F.col("top").alias("next"), F.col("ids").alias("more"), F.col("labels").alias("rest"),
+            F.col("state").alias("then"),
+        )
+        pairs = state.where(F.col("state") == OPEN).drop("state").join(upper, "top")
+        meets = F.arrays_overlap("ids", "more")
+        joined = lambda a, b: F.when(~meets, F.concat(a, b)).otherwise(F.slice(a, 1, 0))
+        longer = pairs.select(
+            F.when(meets, F.col("top")).otherwise(F.col("node")).alias("node"), F.col("next").alias("top"),
+            joined("ids", "more").alias("ids"), joined("labels", "rest").alias("labels"),
+            F.when(meets, CYCLE).otherwise(F.col("then")).alias("state"),
         )
-        level = checkpoint(nxt)
-        n, cycles = level.agg(F.count(F.lit(1)), F.count_if(F.col("ids").isNull())).first()
-        if cycles:
-            raise ValueError(f"the ontology has a cycle; {cycles} paths run into it")
-        if n == 0:
-            return reduce(DataFrame.union, done)
+        last, state = state, checkpoint(state.where(F.col("state") != OPEN).union(longer))
+        release(last)
 
 
 def pad_paths(paths: DataFrame) -> DataFrame:
