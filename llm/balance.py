@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from llm.scratch import Scratch
+from llm.textops import apart
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3.0
 STRATUM = 1000
-STEPS = 60
 #: Relative distance to the target at which a source is done.
 CLOSE = 1e-9
+#: Relative width at which a bracket cannot be halved any more.
+NARROW = 1e-15
 
 RESULTS = ("size", "source_size", "target", "rate", "copies", "taken")
 
@@ -102,9 +104,8 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, limit: flo
         F.when(~full, top).alias("high"), full.alias("done"), full.alias("full"),
     )
     state = scratch.save(state, "state-0")
-    for turn in range(STEPS):
-        if state.where("not done").isEmpty():
-            break
+    turn = 0
+    while not state.where("not done").isEmpty():
         now = state.where("not done").select(F.col("source").alias("s"), "mean", "lam")
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.col("lam") * x)
@@ -124,7 +125,9 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, limit: flo
         close = F.abs(gap) <= F.col("target") * CLOSE
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        new = new.withColumns({"low": low, "high": high, "done": F.col("done") | F.coalesce(close, F.lit(False))})
+        narrow = high - low <= F.greatest(F.abs(low), F.abs(high)) * NARROW
+        over = F.coalesce(close, F.lit(False)) | F.coalesce(narrow, F.lit(False))
+        new = new.withColumns({"low": low, "high": high, "done": F.col("done") | over})
         step = F.col("lam") - gap / F.col("slope")
         # Without a lower bound yet, go down by doubling.
         other = F.when(F.col("low").isNull(), F.least(F.col("lam") * 2, F.lit(-1.0))).otherwise((F.col("low") + F.col("high")) / 2)
@@ -132,6 +135,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, limit: flo
         lam = F.when(F.col("done"), F.col("lam")).when(F.coalesce(good, F.lit(False)), step).otherwise(other)
         state = scratch.save(new.withColumn("lam", lam).select(*state.columns), f"state-{turn + 1}")
         scratch.drop(f"state-{turn}")
+        turn += 1
     return state
 
 
@@ -152,7 +156,9 @@ def mix(
     no document is taken more than `limit` times.
     """
     scratch = Scratch(docs.sparkSession, "balance")
-    keep = [c for c in docs.columns if c not in RESULTS]
+    keep = [c for c in docs.columns if c.lower() not in RESULTS]
+    own = apart(keep)  # columns of this function, whatever the input's are called
+    ties = [F.xxhash64(F.col(text))] if text in docs.columns else []
     docs = docs.withColumn("size", count_words(F.col(text)) if size is None else size).select(*keep, "size")
     # Sums of floats differ in their last digits from run to run; the multipliers are rounded beyond that.
     slim = scratch.save(docs.select(F.col(source).alias("source"), "size").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -161,25 +167,25 @@ def mix(
     state = multipliers(slim, goals, scratch, limit)
     counts = slim.groupBy("source").agg(F.sum("n").alias("n")).toDF("c", "n")
     state = state.join(counts, F.col("source").eqNullSafe(F.col("c")), "left").select(
-        F.col("source").alias("_source"),
+        F.col("source").alias(f"{own}source"),
         F.col("words").alias("source_size"),
         F.col("target").alias("target"),
-        F.col("mean").alias("_mean"),
-        F.when(~F.col("full"), F.round("lam", 9)).alias("_lam"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / stratum)).alias("_runs"),
+        F.col("mean").alias(f"{own}mean"),
+        F.when(~F.col("full"), F.round("lam", 9)).alias(f"{own}lam"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / stratum)).alias(f"{own}runs"),
     )
     state = scratch.save(state, "rates")
-    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("_lam").isNull(), F.lit(float(limit)))
-    rate = rate.otherwise(F.least(F.lit(float(limit)), F.exp(F.col("_lam") * F.col("size") / F.col("_mean"))))
-    run = F.pmod(F.xxhash64(F.col(key)), F.col("_runs"))
-    rated = docs.join(state, F.col(source).eqNullSafe(F.col("_source"))).withColumns({"rate": rate, "_run": run})
+    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col(f"{own}lam").isNull(), F.lit(float(limit)))
+    rate = rate.otherwise(F.least(F.lit(float(limit)), F.exp(F.col(f"{own}lam") * F.col("size") / F.col(f"{own}mean"))))
+    run = F.pmod(F.xxhash64(F.col(key)), F.col(f"{own}runs"))
+    rated = docs.join(state, F.col(source).eqNullSafe(F.col(f"{own}source"))).withColumns({"rate": rate, f"{own}run": run})
     rest = F.col("rate") - F.floor("rate")
-    along = Window.partitionBy("_source", "_run").orderBy("size", F.col(key))
+    along = Window.partitionBy(f"{own}source", f"{own}run").orderBy("size", F.col(key), *ties)
     upto = F.sum(rest).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.pmod(F.xxhash64("_run", "_source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    start = F.pmod(F.xxhash64(f"{own}run", f"{own}source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # A hair is added so that sums of many rests do not miss a whole number by rounding.
-    whole = F.floor(F.col("_upto") + F.col("_start") + 1e-9) - F.floor(F.col("_upto") - F.col("_rest") + F.col("_start") + 1e-9)
-    out = rated.withColumns({"_rest": rest, "_start": start}).withColumn("_upto", upto)
+    whole = F.floor(F.col(f"{own}upto") + F.col(f"{own}start") + 1e-9) - F.floor(F.col(f"{own}upto") - F.col(f"{own}rest") + F.col(f"{own}start") + 1e-9)
+    out = rated.withColumns({f"{own}rest": rest, f"{own}start": start}).withColumn(f"{own}upto", upto)
     copies = (F.floor("rate") + F.greatest(F.lit(0), F.least(F.lit(1), whole))).cast("long")
     out = out.withColumn("copies", F.least(copies, F.lit(int(limit)).cast("long")))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *RESULTS)

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.textops import apart
+
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 
@@ -75,37 +77,38 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(spaced, " "), lambda w: w != "")
     length = lambda c: F.char_length(c).cast("long")
     without = lambda chars: length(plain) - length(F.translate(plain, chars, ""))
-    keep = [c for c in docs.columns if c not in LEDGER]
+    keep = [c for c in docs.columns if c.lower() not in LEDGER]
+    own = apart(keep)  # columns of this function, whatever the input's are called
     out = docs.select(
         *keep,
-        words.alias("_words"),
+        words.alias(f"{own}words"),
         (length(plain) - without(SPACES)).alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"),
         without("!").alias("n_exclamations"),
-        F.filter(F.split(plain, "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("_lines"),
+        F.filter(F.split(plain, "\n"), lambda x: F.translate(x, SPACES, "") != "").alias(f"{own}lines"),
     )
-    word = F.col("_words")
+    word = F.col(f"{own}words")
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_words": F.size(f"{own}words").cast("long"),
+            "n_lines": F.size(f"{own}lines").cast("long"),
+            "n_dup_lines": (F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines"))).cast("long"),
             "n_same_as_last": F.size(F.filter(word, lambda w, i: (i > 0) & (w == F.get(word, i - 1)))).cast("long"),
             # All letters in upper case: it changes in lower case only.
             "n_upper_words": F.size(F.filter(word, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.char_length(w) > 2))).cast("long"),
-            "_windows": F.when(F.size("_words") >= 3, _repeats(word, F.size("_words"))),
+            f"{own}windows": F.when(F.size(f"{own}words") >= 3, _repeats(word, F.size(f"{own}words"))),
         }
     )
-    windows = F.col("_windows")
-    out = out.withColumn("_repeated", F.size(F.array_distinct(windows)) < F.size(windows))
-    pairs = F.when(F.col("_repeated"), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_pairs", pairs).drop("_windows", "_words", "_lines", "_repeated")
-    pair = F.col("_pairs")
+    windows = F.col(f"{own}windows")
+    out = out.withColumn(f"{own}repeated", F.size(F.array_distinct(windows)) < F.size(windows))
+    pairs = F.when(F.col(f"{own}repeated"), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    out = out.withColumn(f"{own}pairs", pairs).drop(f"{own}windows", f"{own}words", f"{own}lines", f"{own}repeated")
+    pair = F.col(f"{own}pairs")
     again = F.filter(
         pair, lambda p, k: (p["h"] == F.get(pair, k + 1)["h"]) | ((k > 0) & (p["h"] == F.get(pair, F.greatest(k - 1, F.lit(0)))["h"]))
     )
-    out = out.withColumn("_places", F.sort_array(F.transform(again, lambda p: p["i"]))).drop("_pairs")
-    place = F.col("_places")
+    out = out.withColumn(f"{own}places", F.sort_array(F.transform(again, lambda p: p["i"]))).drop(f"{own}pairs")
+    place = F.col(f"{own}places")
     covered = F.aggregate(
         F.transform(place, lambda p, k: F.least(F.coalesce(F.get(place, k + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x
     )

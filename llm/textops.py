@@ -127,3 +127,10 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, l
     out = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
     out[np.flatnonzero(inside) + np.repeat(start - origin, length)] = data[inside]
     return Words(out, start, end, np.searchsorted(origin, offsets), origin)
+
+
+def apart(columns: list[str], prefix: str = "_") -> str:
+    """A prefix for columns of one's own that no column of the input starts with."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

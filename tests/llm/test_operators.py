@@ -397,6 +397,28 @@ def test_op8(spark, folder, rows):
     assert as_rows(got, ("doc_id", "taken")) == as_rows(again, ("doc_id", "taken"))
 
 
+def test_columns_of_the_input_are_kept(spark):
+    """Extra columns may have any name, also those that an operator uses inside or in capitals."""
+    inside = ("_words", "_lines", "_windows", "_pairs", "_places", "_rest", "_run", "_start", "_upto", "_source", "_lam", "__words")
+    names = ("doc_id", "text", "source", *inside)
+    data = [(k, "word " * (k + 1), f"s{k % 2}", *(f"{c}{k}" for c in inside)) for k in range(9)]
+    docs = spark.createDataFrame(data, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    plain = docs.select("doc_id", "text", "source")
+    for operator, results in ((rules.ledger, rules.LEDGER), (balance.mix, balance.RESULTS)):
+        got = operator(docs)
+        assert got.columns == [*names, *results]
+        assert as_rows(got.collect(), names) == as_rows(docs.collect(), names)
+        assert as_rows(got.collect(), ("doc_id", *results)) == as_rows(operator(plain).collect(), ("doc_id", *results))
+        capital = operator(plain.withColumn(results[0].upper(), F.lit("x")))
+        assert capital.columns == ["doc_id", "text", "source", *results]
+
+
+def test_equal_sizes_and_ids_are_ordered_by_text(spark):
+    docs = spark.createDataFrame([(1, f"a b c{k}", f"s{k % 2}") for k in range(60)], "doc_id long, text string, source string")
+    first = as_rows(balance.mix(docs.repartition(7)).collect(), ("text", "copies"))
+    assert first == as_rows(balance.mix(docs.repartition(2)).collect(), ("text", "copies"))
+
+
 def test_mix_meets_its_targets(spark, nothing):
     pick = np.random.default_rng(4)
     rows = [(k, int(n), f"s{k % 6}") for k, n in enumerate(pick.lognormal(5, 1, 6000))]
