@@ -292,6 +292,22 @@ pairs AS MATERIALIZED (
     FROM {source} GROUP BY ALL)"""
 
 
+def als_sweeps(sweeps: int, ridge: float) -> str:
+    """CTEs after `pairs`, and a SELECT of the parameters: weighted regressions on one value and a constant, in turns."""
+    weighted = "terms AS MATERIALIZED (SELECT wi, wj, ln(x) AS y, least(1.0, pow(x / 100, 0.75)) AS f FROM pairs)"
+    steps = [weighted, "c0 AS (SELECT word_id, ((word_id * 37) % 101 - 50) / 100.0::DOUBLE AS v, 0.0::DOUBLE AS b FROM vocab)"]
+    for n in range(1, sweeps + 1):
+        for own, fixed, key, other in ((f"w{n}", f"c{n - 1}", "wi", "wj"), (f"c{n}", f"w{n}", "wj", "wi")):
+            steps.append(f"""{own} AS MATERIALIZED (
+    SELECT word_id, (p * t - q * s) / (r * t - s * s) AS v, (r * q - s * p) / (r * t - s * s) AS b
+    FROM (SELECT {key} AS word_id, sum(f * v * v) + {ridge} AS r, sum(f * v) AS s, sum(f) + {ridge} AS t,
+                 sum(f * v * (y - b)) AS p, sum(f * (y - b)) AS q
+          FROM terms JOIN {fixed} ON {fixed}.word_id = {other} GROUP BY {key}))""")
+    return ",\n".join(steps) + f"""
+    SELECT word_id, round(w.v, 6) AS value, round(w.b, 6) AS bias, round(c.v, 6) AS context_value, round(c.b, 6) AS context_bias
+    FROM w{sweeps} w FULL JOIN c{sweeps} c USING (word_id)"""
+
+
 # --- ontology -----------------------------------------------------------------------------
 
 NODES = """nodes AS (

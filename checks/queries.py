@@ -15,6 +15,7 @@ from wordloom.functions.stem import stem_vocabulary
 from wordloom.functions.tagging import tag_word
 from wordloom.functions.tokens import keep_token, tokenize
 from wordloom.functions.wordlists import STOP_WORDS
+from wordloom.operators import als as A
 from wordloom.operators import bigrams as B
 from wordloom.operators import cooccur as CO
 from wordloom.operators import corpus as D
@@ -440,6 +441,26 @@ def _(spark, d):
     return params.select("word_id", V.combine(F.col("vec"), F.col("context_vec")).alias("vec"))
 
 
+_ALS_COLUMNS = (("vec", 0, "value"), ("vec", 1, "bias"), ("context_vec", 0, "context_value"), ("context_vec", 1, "context_bias"))
+
+
+@register("train_glove_als")
+def _(spark, d):
+    params = A.train_glove_als(checkpoint(_pairs(spark, d)), dim=300, sweeps=10, seed=1)
+    return params.select("word_id", V.combine(F.col("vec"), F.col("context_vec")).alias("vec"))
+
+
+@register("als_one_dimension", f"WITH {O.cooccurrence(10, True, True)}, {O.als_sweeps(2, 0.1)}")
+def _(spark, d):
+    """Two sweeps in one dimension, whose normal equations SQL can solve, from given values."""
+    docs, vocab = vocab15(spark, d)
+    pairs = checkpoint(CO.cooccurrence(CO.encode_documents(docs, vocab), window=10))
+    first = F.array((F.col("word_id") * 37 % 101 - 50) / 100, F.lit(0.0))
+    params = A.train_glove_als(pairs, dim=1, sweeps=2, ridge=0.1, start=vocab.select("word_id", first.alias("vec")))
+    parts = [F.round(F.col(side)[k], 6).alias(name) for side, k, name in _ALS_COLUMNS]
+    return params.select("word_id", *parts)
+
+
 @register("build_embeddings")
 def _(spark, d):
     model = PL.build_bigrams(turns(spark, d), 3)

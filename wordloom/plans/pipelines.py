@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from wordloom.functions.clean import CLEANERS, Cleaner
 from wordloom.functions.stem import stem_vocabulary, stem_words
 from wordloom.functions.wordlists import STOP_WORDS
+from wordloom.operators.als import train_glove_als
 from wordloom.operators.bigrams import corpus_with_bigrams, extract_bigrams
 from wordloom.operators.cooccur import cooccurrence, encode_documents, vocabulary
 from wordloom.operators.corpus import (
@@ -136,11 +137,22 @@ def train_embeddings(
     seed: int = 0,
     model: int = 2,
     on_iteration: Callable[[int, float], None] | None = None,
+    solver: str = "adagrad",
 ) -> Embeddings:
-    """Training corpus `(doc_id, tokens)` to de-noised word vectors."""
+    """Training corpus `(doc_id, tokens)` to de-noised word vectors.
+
+    With `solver="als"` the iterations are sweeps of alternating least squares; some ten are enough, and
+    `on_iteration` gets the loss, ridge included, in place of the mean error.
+    """
+    if solver not in ("adagrad", "als"):
+        raise ValueError(f"no such solver: {solver}")
     vocab = vocabulary(docs, min_count)
     pairs = checkpoint(cooccurrence(encode_documents(docs, vocab), window))
-    params = train_glove(pairs, dim, iterations, seed=seed, on_iteration=on_iteration)
+    if solver == "als":
+        after = (lambda sweep, _, loss: on_iteration(sweep, loss)) if on_iteration else None
+        params = train_glove_als(pairs, dim, iterations, seed=seed, on_sweep=after)
+    else:
+        params = train_glove(pairs, dim, iterations, seed=seed, on_iteration=on_iteration)
     vectors = checkpoint(output_vectors(params, vocab, model))
     return Embeddings(denoise(vectors, components), vocab, pairs, params)
 
