@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule does to each version of the policies, from one written ledger of all documents."""
+    book = rules.stored(_read(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    parts = [rules.ablations(book, policy) for policy in (rules.STRICT, rules.STRICT_2, rules.BASE_ONLY)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op4_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations formatted as reply paths, and read back from the formatted strings."""
     rows = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -182,6 +191,7 @@ QUERIES = {
         op1_decontamination,
         op2_warc_zip,
         op3_quality_rules,
+        rule_ablations,
         op4_reply_trees,
         op5_suffix_dedup,
         op6_lattice_lm,
@@ -224,7 +234,150 @@ def _components_sql(width: int, extra: str) -> str:
     FROM (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Words of documents in ten-word windows of benchmark items; a shorter item is one window.
+_WINDOWS_SQL = rf"""
+    WITH texts AS MATERIALIZED (
+        SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+    items AS (
+        SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS MATERIALIZED (
+        SELECT DISTINCT item, len(w[i : i + 9]) AS n, array_to_string(w[i : i + 9], ' ') AS g
+        FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
+    places AS (
+        SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+              FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+    found AS MATERIALIZED (SELECT doc_id, i, n, item FROM places JOIN windows USING (n, g)),
+    hits AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+# Each 100-byte string by its place; of those that are equal, all but the first are cut out.
+_REPEATS_SQL = """
+    WITH texts AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+    places AS MATERIALIZED (
+        SELECT doc_id, i, t[i : i + 99] AS g FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS i FROM texts)),
+    again AS (
+        SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM places) WHERE nth > 1),
+    starts AS (
+        SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again),
+    spans AS MATERIALIZED (
+        SELECT doc_id, min(i) AS a, max(i) + 99 AS b
+        FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM starts) GROUP BY doc_id, span),
+    sums AS (SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+    gaps AS (
+        SELECT doc_id, b + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1, 2147483647) AS b FROM spans
+        UNION ALL SELECT doc_id, 1, min(a) - 1 FROM spans GROUP BY doc_id),
+    left_over AS (
+        SELECT doc_id, string_agg(hex(t[a : b]), '' ORDER BY a) AS kept FROM gaps JOIN texts USING (doc_id) WHERE b >= a GROUP BY doc_id)
+    SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(CASE WHEN n_spans IS NULL THEN t ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+    FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+# The ledger of the quality rules.
+_LEDGER_SQL = r"""
+    WITH texts AS MATERIALIZED (
+        SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents),
+    windows AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
+        FROM (SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts))),
+    repeats AS (
+        SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE times > 1)
+        GROUP BY doc_id),
+    measured AS (
+        SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+            length(text) - length(replace(text, '!', '')) AS n_exclamations,
+            len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_same_as_last,
+            len(list_filter(w, lambda x: length(x) > 2 AND upper(x) = x AND lower(x) <> x)) AS n_upper_words
+        FROM texts LEFT JOIN repeats USING (doc_id)),
+    ledger AS MATERIALIZED (
+        SELECT *, CAST((n_words < 50)::INT + 2 * (n_repeat_words > 0.5 * n_words)::INT + 4 * (n_symbols > 0.1 * n_words)::INT
+            + 8 * (10 * n_same_as_last > 3 * n_words)::INT + 16 * (n_upper_words > 0.5 * n_words)::INT
+            + 32 * (10 * n_exclamations > 3 * n_words)::INT + 64 * (n_lines >= 4 AND n_dup_lines > 0.5 * n_lines)::INT
+            + 128 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT AS BIGINT) AS failed_bits
+        FROM measured)"""
+
+# Table of the CRC-32 of each byte.
+_CODES_SQL = """codes AS MATERIALIZED (
+        SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS code)"""
+
+# A run of 12 words or more, and of two periods or more, repeats six words at the distance of its period.  So
+# equal six-word windows give the stretches of each period; those inside one of a smaller period are no runs.
+_RUNS_SQL = rf"""
+    WITH {_CODES_SQL},
+    ids AS MATERIALIZED (
+        SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+            lambda c, b: xor(code[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h
+        FROM (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents), codes),
+    texts AS MATERIALIZED (
+        SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+            THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+        FROM (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a,
+                  CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM ids)),
+    grams AS MATERIALIZED (
+        SELECT doc_id, i, w[i + 1 : i + 6] AS g FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM texts)),
+    equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i),
+    stretches AS MATERIALIZED (
+        SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal) GROUP BY doc_id, q, island
+        HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+    runs AS MATERIALIZED (
+        SELECT * FROM stretches s WHERE NOT EXISTS (
+            SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+    sums AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+            arg_min({{'start': start, 'length': length, 'period': q}}, [-length, start, q]) AS best
+        FROM runs GROUP BY doc_id),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+        FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts) ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+        1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+        sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op1_decontamination": _WINDOWS_SQL,
+    "op2_warc_zip": r"""
+    WITH payloads AS MATERIALIZED (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+    digests AS (
+        SELECT page_id, array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
+            + ((CAST('0x' || hex[5 * (k // 4) + 1 : 5 * (k // 4) + 5] AS BIGINT) >> (15 - 5 * (k % 4))) & 31)]), '') AS payload_digest
+        FROM payloads),
+    places AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS last FROM payloads)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id < last THEN last END AS refers_to
+    FROM places JOIN digests USING (page_id)""",
+    "op3_quality_rules": f"""{_LEDGER_SQL}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed_bits = 0 AS kept, failed_bits
+    FROM ledger""",
+    "rule_ablations": f"""{_LEDGER_SQL},
+    rules AS (
+        SELECT unnest(['few_words', 'repeated_words', 'symbols', 'same_word_runs', 'shouting', 'exclamation', 'duplicate_lines',
+            'word_length']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit),
+    policies AS (
+        SELECT unnest(['strict', 'strict', 'base']) AS policy, unnest([1, 2, 1]) AS version, unnest([255, 255, 3]) AS mask,
+            unnest([0, 1, 0]) AS tolerated)
+    SELECT policy, version, rule, count(*) FILTER (WHERE failed_bits & bit > 0) AS fails,
+        count(*) FILTER (WHERE failed_bits & mask = bit) AS fails_alone,
+        count(*) FILTER (WHERE bit_count(failed_bits & mask) <= tolerated) AS kept,
+        count(*) FILTER (WHERE bit_count(failed_bits & (mask - bit)) <= tolerated) AS kept_without
+    FROM policies JOIN rules ON mask & bit > 0 LEFT JOIN ledger ON true GROUP BY policy, version, mask, rule, bit""",
     "op4_reply_trees": f"""
     WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -237,7 +390,9 @@ ORACLES: dict[str, str] = {
             + length(replace({_ESCAPED.format('role')}, chr(10), '..')) + length({_ESCAPED.format('text')})) AS BIGINT)
             AS formatted_chars
     FROM turns GROUP BY conv_id""",
+    "op5_suffix_dedup": _REPEATS_SQL,
     "op10_minhash_dedup": _components_sql(5, ", doc_id = component_id AS kept"),
+    "op11_internal_periods": _RUNS_SQL,
     "op12_parity_join": _components_sql(4, ""),
     "op13_crc_resampling": r"""
     WITH words AS (

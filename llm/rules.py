@@ -15,11 +15,13 @@ ledger.  Columns of the input are kept, except those with the names of the ledge
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.scratch import Scratch
 from llm.textops import apart
 
 SPACES = "\t\n\x0b\x0c\r "
@@ -57,6 +59,8 @@ class Policy:
 
 
 STRICT = Policy("strict", 1, (1 << len(RULES)) - 1)
+#: The second version forgives one failure.
+STRICT_2 = Policy("strict", 2, STRICT.mask, 1)
 BASE_ONLY = Policy("base", 1, BASE)
 
 
@@ -128,6 +132,15 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("failed_bits", bits)
 
 
+def stored(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """The ledger of `docs` with the columns `keep`, written once and read from there.
+
+    Policies and ablations over it read numbers and bits; the texts are not read again.  The files are
+    deleted when the session ends.
+    """
+    return Scratch(docs.sparkSession, "rules").save(ledger(docs, text).select(*keep, *LEDGER), "ledger")
+
+
 def passes(policy: Policy) -> Column:
     """True for the rows of a ledger that the policy keeps."""
     return F.bit_count(F.col("failed_bits").bitwiseAND(F.lit(policy.mask))) <= policy.tolerated

@@ -196,6 +196,23 @@ def test_rules_repeats_and_policies(spark, nothing):
     assert rules.ledger(nothing).count() == 0 and rules.ablations(rules.ledger(nothing)).first().kept == 0
 
 
+def test_stored_ledger(spark, nothing):
+    """Policies of several versions read one written ledger; the texts are not in it."""
+    words = " ".join(f"word{k}" for k in range(60))
+    texts = [(1, words), (2, words.upper()), (3, words.upper().replace(" ", "! ")), (4, None), (5, ""), (1, words), (None, words)]
+    docs = spark.createDataFrame([(i, t, True) for i, t in texts], "doc_id int, text string, failed_bits boolean")
+    book = rules.stored(docs, ["doc_id"])
+    assert book.columns == ["doc_id", *rules.LEDGER] and book.inputFiles()
+    counts = lambda policy: sorted(str(r.doc_id) for r in book.where(rules.passes(policy)).collect())
+    assert counts(rules.STRICT) == ["1", "1", "None"]
+    assert counts(rules.STRICT_2) == ["1", "1", "2", "4", "5", "None"]
+    assert counts(rules.BASE_ONLY) == ["1", "1", "2", "3", "None"]
+    cut = {(r.version, r.rule): (r.fails, r.fails_alone, r.kept, r.kept_without) for p in (rules.STRICT, rules.STRICT_2) for r in rules.ablations(book, p).collect()}
+    assert cut[1, "shouting"] == (2, 1, 3, 4) and cut[2, "shouting"] == (2, 1, 6, 7)
+    assert cut[1, "few_words"] == (2, 2, 3, 5) and cut[2, "few_words"] == (2, 2, 6, 6)
+    assert rules.ablations(rules.stored(nothing, ["doc_id"]), rules.STRICT_2).first().kept == 0
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 
