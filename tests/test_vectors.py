@@ -117,6 +117,33 @@ def test_retrofit_over_edges(spark, given, matrix):
     assert np.allclose([as_dict(none)[f"w{i}"] for i in range(40)], matrix)
 
 
+def test_retrofit_over_crowded_words(spark, given, matrix, monkeypatch):
+    """Stars in both directions, whose edges are dealt over parts; edges with null, repeated and unknown words."""
+    monkeypatch.setattr(R, "EDGES_PER_PART", 4)
+    hub = [(f"w{i}", "w0") for i in range(1, 40)] + [("w0", f"w{i}") for i in range(1, 40)] + [("w3", "w4")]
+    edges = [*hub, *hub[:9], ("w5", None), (None, "w5"), (None, None), ("w6", "unknown"), ("unknown", "w0")]
+    df = spark.createDataFrame([(*e, 1) for e in edges], "token string, neighbour string, part int")
+    neighbours = {0: set(range(1, 40))} | {i: {0} for i in range(1, 40)} | {3: {0, 4}}
+    got = as_dict(R.retrofit(given, df, convergence_threshold=1e-8))
+    assert np.allclose([got[f"w{i}"] for i in range(40)], fixed_point(matrix, neighbours), atol=1e-6)
+    laid, crowded = R.lay_out_edges(df)
+    assert [tuple(r) for r in crowded.collect()] == [("w0", 10)]
+    held = {(r.neighbour, r.part): r["count"] for r in laid.groupBy("neighbour", "part").count().collect()}
+    assert len([k for k in held if k[0] == "w0"]) > 5 and sum(held.values()) == len(set(hub)) + 2
+    assert max(held.values()) < 12
+
+
+def test_edges_are_not_shuffled_in_a_round(spark, given):
+    """A round moves the vectors to the edges: one exchange for them and one for the sums."""
+    edges = spark.createDataFrame([(f"w{i}", f"w{i * 7 % 40}") for i in range(40)], "token string, neighbour string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.sums_from_edges(edges)(given)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 @pytest.fixture(scope="module")
 def pairs(spark):
     rng = np.random.default_rng(2)

@@ -41,6 +41,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """`checkpoint` of `df` in `n` partitions by `keys`, which later joins on these keys know of and do not shuffle.
+
+    An adaptive plan hides how its result is partitioned, so this one step, an exchange, is planned without.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "false")
+    try:
+        return checkpoint(df.repartition(n, *keys))
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from `checkpoint` that nothing will read again."""
     spark = df.sparkSession
