@@ -12,6 +12,7 @@ from wordloom.functions.stem import stem_each
 from wordloom.functions.tokens import plain_sql, tokenize
 from wordloom.functions.wordlists import MORE_STOP_WORDS, STOP_WORDS
 from wordloom.operators.bigrams import join_bigrams
+from wordloom.operators.groups import pairs_in_groups
 from wordloom.operators.lookup import match_elements
 from wordloom.runtime import BROADCAST_ROWS, checkpoint, fits, release
 
@@ -170,7 +171,5 @@ def group_tokens(
 def similar_tokens(members: DataFrame, words: DataFrame) -> DataFrame:
     """`(token, neighbour)` for the asked `words` (column `token`): every other token
     that shares a group with the word, once."""
-    asked = members.join(words.select("token").distinct(), "token", "left_semi")
-    others = members.select("grp", F.col("token").alias("neighbour"))
-    pairs = asked.select("grp", "token").join(others, "grp").where("token <> neighbour")
-    return pairs.select("token", "neighbour").distinct()
+    pairs = pairs_in_groups(members.select("grp", F.col("token").alias("member")), words.select(F.col("token").alias("member")))
+    return pairs.select(F.col("member").alias("token"), F.col("other").alias("neighbour"))
