@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import runtime
 from wordloom.operators import bigrams as B
 from wordloom.operators import cooccur as CO
 from wordloom.operators import corpus as D
@@ -118,6 +119,29 @@ def test_cooccurrence(spark, symmetric, weighted, max_rows, monkeypatch):
     assert got == pytest.approx(brute_pairs(docs, ids, 5, symmetric, weighted))
 
 
+def test_cooccurrence_shuffles_sums_only(spark):
+    """Pairs are summed before the shuffle, in numpy; null documents and ids beyond 32 bits are kept apart."""
+    rows = [(1, [0, 1 << 40, 0, 7] * 700), (2, None), (3, []), (4, [7])]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<bigint>").coalesce(1)
+    pairs = CO.cooccurrence(df, 3, symmetric=False)
+    assert "MapInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for i, target in enumerate(rows[0][1]):
+        for k in range(1, min(3, i) + 1):
+            want[target, rows[0][1][i - k]] += 6 // k
+    assert {(r.wi, r.wj): round(r.x * 6) for r in pairs.collect()} == want
+
+
+def test_spread_grows_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    cores = spark.sparkContext.defaultParallelism
+    assert runtime.spread(df, "id").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(runtime, "SPREAD_BYTES", 40_000)
+    wide = runtime.spread(df, "id")
+    assert wide.rdd.getNumPartitions() >= 20 > cores and wide.count() == 20_000
+
+
 def test_wide_window_uses_exact_decimals(spark):
     df = spark.createDataFrame([(1, list(range(40)))], "doc_id int, ids array<int>")
     got = {(r.wi, r.wj): r.x for r in CO.cooccurrence(df, 30).collect()}
