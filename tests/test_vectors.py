@@ -12,6 +12,7 @@ from wordloom.functions import vectors as V
 from wordloom.operators import denoise as DN
 from wordloom.operators import glove as G
 from wordloom.operators import retrofit as R
+from wordloom.operators.groups import pairs_in_groups
 from wordloom.operators import strata as ST
 from wordloom.runtime import checkpoint_folder
 
@@ -107,6 +108,20 @@ def test_count_neighbours(spark, small):
     assert {w: n for w, n in got.items() if w != "unknown"} == expected
 
 
+def test_count_neighbours_makes_each_pair_once(spark, monkeypatch):
+    """Groups of forty that share few members: counted by pairs, without a pair of atoms for each two words."""
+    met = []
+    monkeypatch.setattr(R, "pairs_in_groups", lambda spans: met.append(spans.count()) or pairs_in_groups(spans))
+    rows = [(f"g{g}", f"w{(g * 31 + k * 7) % 300}") for g in range(40) for k in range(40)] + [("all", f"w{k}") for k in range(300)]
+    held = {}
+    for g, w in rows:
+        held.setdefault(g, set()).add(w)
+    want = {w: len(set().union(*(ms for ms in held.values() if w in ms))) - 1 for _, w in rows}
+    df = spark.createDataFrame([*rows, ("g0", None), (None, "w1"), (None, "alone")], "grp string, token string")
+    got = {r.token: r.n for r in R.count_neighbours(df).collect()}
+    assert got == {**want, "alone": 0, None: 0} and met == [1]
+
+
 def test_retrofit_over_edges(spark, given, matrix):
     edges = [("w0", "w1"), ("w1", "w0"), ("w1", "w2"), ("w2", "w1"), ("w5", "unknown"), ("w0", "w1")]
     df = spark.createDataFrame(edges, "token string, neighbour string")
