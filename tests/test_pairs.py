@@ -10,6 +10,7 @@ from wordloom import runtime
 from wordloom.operators import bigrams as B
 from wordloom.operators import cooccur as CO
 from wordloom.operators import corpus as D
+from wordloom.operators import lookup
 from wordloom.runtime import most_frequent, number_rows
 
 PAIR = "array<struct<token:string,pos:string>>"
@@ -132,6 +133,19 @@ def test_cooccurrence_shuffles_sums_only(spark):
     assert {(r.wi, r.wj): round(r.x * 6) for r in pairs.collect()} == want
 
 
+def test_large_lookup_asks_for_the_words_of_a_chunk_once(spark, monkeypatch):
+    """No row per element is shuffled; null arrays, null elements, unknown words, equal rows and other columns are kept."""
+    monkeypatch.setattr(lookup, "CHUNK_BITS", 1)
+    rows = [(None, ["a", "b", "a", None, "x"], 1.5), (1, None, 2.5), (1, [], None), (2, ["c"] * 50, 0.0), (2, ["c"] * 50, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id int, words array<string>, v double").coalesce(1)
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "key string, value int")
+    found = lookup.match_elements(df, F.col("words"), table, "found", max_rows=2)
+    assert "CoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    ids = {"a": 1, "b": 2, "c": 3}
+    want = [(*r, None if r[1] is None else [ids.get(w) for w in r[1]]) for r in rows]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
 def test_spread_grows_with_the_files(spark, tmp_path, monkeypatch):
     spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
