@@ -146,6 +146,21 @@ def test_large_lookup_asks_for_the_words_of_a_chunk_once(spark, monkeypatch):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
 
 
+def test_vocabulary_of_limited_size_sorts_few_words(spark, monkeypatch):
+    words = [f"w{k}" for k in range(3000)]
+    df = spark.createDataFrame([(words,), (["x", "x", "x", "y", "y"],)], "tokens array<string>")
+    sorted_rows = []
+    plain = CO.number_rows
+    monkeypatch.setattr(CO, "number_rows", lambda rows, *more: (sorted_rows.append(rows.count()), plain(rows, *more))[1])
+    hashed = dict((r.w, r.h) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.md5("w").alias("h")).collect())
+    for n in (1, 2, 3, 500, 3001, 3002, 4000):
+        sorted_rows.clear()
+        first = ["x", "y", *sorted(words, key=hashed.get)][:n]
+        got = {r.word: r.word_id for r in CO.vocabulary(df, max_vocab=n).collect()}
+        assert set(got) == set(first) and sorted(got.values()) == list(range(len(first)))
+        assert max(sorted_rows) <= n
+
+
 def test_spread_grows_with_the_files(spark, tmp_path, monkeypatch):
     spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
