@@ -146,6 +146,42 @@ def test_large_lookup_asks_for_the_words_of_a_chunk_once(spark, monkeypatch):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
 
 
+def test_each_distinct_string_of_a_chunk_is_worked_out_once(spark, monkeypatch):
+    rows = [(1, [["a", "b"], None, ["a", None]], ["b"]), (2, None, ["a", "c"]), (3, [[]], None), (4, [["c", "a"]], [])]
+    df = spark.createDataFrame(rows, "id long, x array<array<string>>, y array<string>").coalesce(1)
+    known = spark.createDataFrame([("b", "B"), ("c", None)], "key string, value string")
+    for at_a_time in (1, 1000):
+        monkeypatch.setattr(lookup, "STRINGS_AT_A_TIME", at_a_time)
+        rule = lambda words: F.expr(f"transform({words}, w -> concat(w, w))")
+        out = {r.id: (r.x, r.y) for r in lookup.each_distinct(df, ["x", "y"], rule, known=known).collect()}
+        assert out == {
+            1: ([["aa", "B"], None, ["aa", None]], ["B"]), 2: (None, ["aa", "cc"]), 3: ([[]], None), 4: ([["cc", "aa"]], [])
+        }
+    drawn = lookup.each_distinct(df, ["x", "y"], lambda words: F.expr(f"transform({words}, w -> concat(w, uuid()))"))
+    flat = drawn.select(F.explode(F.concat(F.flatten(F.array_compact(F.coalesce("x", F.array()))), F.coalesce("y", F.array()))).alias("w"))
+    assert flat.where("w IS NOT NULL").distinct().count() == 3
+
+
+def test_tags_and_stems_are_worked_out_for_distinct_words(spark):
+    df = spark.createDataFrame([(1, [["red", "apples"], ["red", "and"]]), (2, None)], "doc_id long, s array<array<string>>")
+    kept = D.filter_tokens(df, ["s"])
+    streams = D.token_streams(kept, ["s"])
+    done = D.stem_streams(streams, ["s"])
+    for before, after in ((df, kept), (streams, done)):
+        plans = [x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for x in (before, after)]
+        assert plans[1] == plans[0] + 2
+    rows = {r.doc_id: r.s for r in done.collect()}
+    assert rows[2] is None
+    assert [x and x.token for x in rows[1]] == ["red", "appl", None, "red", None, None]
+
+
+def test_bigram_counts_are_written_as_parquet(spark):
+    pairs = [[("red", "JJ"), ("apple", "NN"), None, ("apple", "NN"), ("pie", "NN")]]
+    model = B.extract_bigrams(spark.createDataFrame([(pairs[0],), (None,)], f"s {PAIR}"), 1, ["s"], [])
+    assert sorted((r.w1, r.w2, r.freq) for r in model.collect()) == [("apple", "pie", 1), ("red", "apple", 1)]
+    assert all(f.endswith(".parquet") for f in model.inputFiles()) and model.inputFiles()
+
+
 def test_vocabulary_of_limited_size_sorts_few_words(spark, monkeypatch):
     words = [f"w{k}" for k in range(3000)]
     df = spark.createDataFrame([(words,), (["x", "x", "x", "y", "y"],)], "tokens array<string>")
