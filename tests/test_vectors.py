@@ -257,3 +257,15 @@ def test_vector_functions(spark):
     assert (row.norm, row.out, row.m0, row.m2, row.m3) == (5.0, [1.5, 4.0], [3, 4, 1, 0], [4.0], [3.0, 1.0])
     with pytest.raises(ValueError):
         V.combine(a, b, 4)
+
+
+def test_glove_loss_keeps_no_copy_of_the_pairs(spark, pairs, monkeypatch):
+    kept, written = spark.sparkContext._jsc.getPersistentRDDs(), []
+    before = len(kept)
+    plain = G.write_stage
+    monkeypatch.setattr(G, "write_stage", lambda df: written.append(plain(df)) or written[-1])
+    some = spark.createDataFrame([(k, [0.1 * k, 0.5]) for k in range(3)], "word_id long, vec array<double>")
+    got = G.glove_loss(pairs, some.withColumn("context_vec", F.col("vec"))).first()
+    assert got.n_pairs == pairs.where("x > 0 AND wi < 3 AND wj < 3").count()
+    assert len(written) == 1 and all(f.endswith(".parquet") for f in written[0].inputFiles())
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
