@@ -175,6 +175,14 @@ def test_tags_and_stems_are_worked_out_for_distinct_words(spark):
     assert [x and x.token for x in rows[1]] == ["red", "appl", None, "red", None, None]
 
 
+@pytest.mark.parametrize("rows", [[(["k"], [], ["pie"])], [([], [], ["pie"]), ([], None, [])], [([], [], [])], [(None, None, None)], []])
+def test_arrays_without_elements_stay(spark, rows):
+    df = spark.createDataFrame([(k, o, a and [a], b and [b]) for k, (o, a, b) in enumerate(rows)], "k int, o array<string>, a array<array<string>>, b array<array<string>>").coalesce(1)
+    done = D.stem_streams(D.token_streams(D.filter_tokens(df, ["a", "b"]), ["a", "b"]), ["a", "b"])
+    got = [(r.o, r.a and [x and x.token for x in r.a], r.b and [x and x.token for x in r.b]) for r in done.orderBy("k").collect()]
+    assert got == [(o, a, b and ["pie", None]) for o, a, b in rows]
+
+
 def test_bigram_counts_are_written_as_parquet(spark):
     pairs = [[("red", "JJ"), ("apple", "NN"), None, ("apple", "NN"), ("pie", "NN")]]
     model = B.extract_bigrams(spark.createDataFrame([(pairs[0],), (None,)], f"s {PAIR}"), 1, ["s"], [])
