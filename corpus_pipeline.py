@@ -66,7 +66,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = F.when(F.col("group").isNull(), F.struct("order.doc_id", "order.mark"))
     first = ranked.groupBy("group", alone.alias("alone")).agg(F.min("order").alias("order"))
     kept = scratch.save(first.select("order._row"), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    # Those that go are fewer: as long as all tasks can be told of them, no text is shuffled.
+    gone = scratch.save(rows.select("_row").join(kept, "_row", "left_anti"), "gone")
+    few = minhash.fits_all_tasks(gone)
+    left = rows.join(F.broadcast(gone), "_row", "left_anti") if few else rows.join(kept, "_row", "left_semi")
+    return left.select(*COLUMNS)
 
 
 @_stage

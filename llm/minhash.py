@@ -42,6 +42,8 @@ NO_ID = -(2**63)  # stands for a null doc_id inside
 
 #: Members of a star that are compared in one go, next to one copy of the centre.
 STAR = 256
+#: Ids that are sent to all tasks to pick their texts, eight bytes each.
+BROADCAST = 200_000
 
 _HIGH = np.uint64(32)
 
@@ -144,6 +146,15 @@ def _sketches(width: int, bins: int, rows: int):
     return run
 
 
+def fits_all_tasks(ids: DataFrame) -> bool:
+    """Whether written `ids` are few enough to be sent to all tasks, so that the texts joined with them stay in place."""
+    return ids.limit(BROADCAST + 1).count() <= BROADCAST
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if fits_all_tasks(ids) else ids
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """`(a, b, inter, total)` for each of `pairs (a, b)`: sizes of intersection and union of the full sets.
 
@@ -261,7 +272,12 @@ def near_duplicates(
     scratch.drop("classes")
 
     def settle(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.save(confirm(pairs, texts, width, percent), name)
+        pairs = scratch.save(pairs.select("a", "b"), f"pairs-{name}")
+        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
+        needed = scratch.save(texts.join(sent(ids), "id", "left_semi"), f"texts-{name}")
+        tried = scratch.save(confirm(pairs, needed, width, percent), name)
+        scratch.drop(f"pairs-{name}", f"ids-{name}", f"texts-{name}")
+        return tried
 
     def fits(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -271,7 +287,8 @@ def near_duplicates(
     first = first.distinct().join(sizes.toDF("a", "na"), "a").where(fits("na", "nb"))
     first = scratch.save(first.select("a", "b").distinct(), "first")
     # Texts that share a bucket with others, read by all rounds.
-    texts = scratch.save(texts.join(members.select(F.col("node").alias("id")).distinct(), "id").distinct(), "texts")
+    ids = scratch.save(members.select(F.col("node").alias("id")).distinct(), "ids")
+    texts = scratch.save(texts.join(sent(ids), "id", "left_semi").distinct(), "texts")
     # Rows that repeat an id are one document: the classes of its texts are joined through the id.
     often = sketches.groupBy("id").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("id")
     through = sketches.where("n_shingles > 0").join(often, "id").select("id", "digest").distinct()
@@ -289,7 +306,7 @@ def near_duplicates(
         return scratch.save(now.join(mixed.select("bucket"), "bucket"), name)
 
     left = unsettled(members.select("bucket", "node", "n"), comps, "open-0")
-    scratch.drop("members", "first")
+    scratch.drop("members", "first", "ids")
     for turn in range(1, rounds + 2):
         if left.isEmpty():
             break

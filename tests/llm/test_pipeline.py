@@ -53,6 +53,24 @@ def test_stages(spark, folder, documents):
     assert mixed.count() == clean.count() and set(P.COLUMNS) < set(mixed.columns)
 
 
+def test_near_duplicates_shuffle_no_text(spark, folder, documents):
+    """What goes is told to all tasks, also above the size to which Spark itself broadcasts; both ways give the same rows."""
+    docs, found = documents.select(*P.COLUMNS), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = P.minhash.BROADCAST
+    try:
+        for most in (before, 0):
+            P.minhash.BROADCAST = most
+            out = P.near_duplicates(spark, docs, folder)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange hashpartitioning" in plan) == (most == 0)
+            found.append(sorted(map(str, out.collect())))
+    finally:
+        P.minhash.BROADCAST = before
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and 0 < len(found[0]) < docs.count()
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     """Ids do not join rows of different texts, and no row goes without a near copy that stays."""
     text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
