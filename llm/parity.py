@@ -12,7 +12,8 @@ the join key is a block with its band and place.  Blocks of less than two tokens
 hot keys: they are left out by sets that have at most `spare` of them, since then one of the blocks they share with
 any partner has more.  Sets with more such blocks keep them all, so no pair is lost.
 
-*Verification.*  A key of m sets first gives a star of m - 1 pairs.  Pairs are screened by the Hamming distance of a
+*Verification.*  Sets that may link, by size and sketch, with no other set of a key leave it before any pair is
+made, but for keys of more than `LOT` sets.  A key of m sets first gives a star of m - 1 pairs.  Pairs are screened by the Hamming distance of a
 second sketch of two to four bits a token (first folded to 256 bits, then to the shorter one's length), and
 confirmed on the full sets.  Linked sets form components.  Keys whose sets are then in one component are done; in the others stars
 from other centres follow, and after `rounds` all sets of different components are compared, by a join in small groups and in tiles of `TILE`
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
-from llm.minhash import NO_ID, _digests, confirm, shingle_sets
+from llm.minhash import NO_ID, _digests, confirm, sent, shingle_sets
 from llm.scratch import Scratch
 from llm.textops import mix, pieces
 
@@ -45,11 +46,11 @@ WIDTH = 4
 TILE = 512
 #: Groups of up to so many sets are compared by a join, larger ones in tiles.
 SMALL = 32
+#: Buckets of up to so many sets are screened before pairs are made.
+LOT = 4096
 #: Bits of the folded sketch that goes with a set as four numbers.
 SHORT = 256
 WORDS = ("s0", "s1", "s2", "s3")
-#: Ids that are sent to all tasks to pick their texts.
-BROADCAST = 200_000
 #: Ratio of the largest to the smallest size of a band, in tenths.
 RATIO = 14
 
@@ -211,6 +212,85 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches folded to half a bit to one bit a token, of `SHORT` bits at least: enough to tell unlike sets apart."""
+    for batch in batches:
+        found = []
+        for x in batch.column("sketch").to_pylist():
+            found.append(fold(np.frombuffer(x, np.uint8)[None, :], max(SHORT // 8, len(x) // 4)).tobytes())
+        columns = [batch.column("node"), batch.column("n"), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "middle"])
+
+
+def _hopeful(percent: int):
+    """The rows, sorted by bucket and size, that may link with another row of their bucket.
+
+    All rows meet the next row of their bucket, then the next but one, and so on until sizes differ too much.
+    """
+
+    def folded(middle: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Widths of the sketches and, for each width, the place of the rows that have it or more in a matrix of that width."""
+        wide, held = pc.binary_length(middle).to_numpy(), {}
+        for w in np.unique(wide):
+            rows = np.zeros((int((wide >= w).sum()), int(w) // 8), np.uint64)
+            place = np.cumsum(wide >= w) - 1
+            for own in np.unique(wide[wide >= w]):
+                some = np.flatnonzero(wide == own)
+                x = np.frombuffer(b"".join(middle.take(pa.array(some)).to_pylist()), np.uint64).reshape(len(some), -1)
+                rows[place[some]] = fold(x, int(w) // 8)
+            held[int(w)] = place, rows
+        return wide, held
+
+    def marked(t: pa.Table) -> list[pa.RecordBatch]:
+        bucket, n = (t.column(c).to_numpy() for c in ("bucket", "n"))
+        wide, held = folded(t.column("middle"))
+        short = [np.ascontiguousarray(c) for c in fold(held[min(held)][1], SHORT // 64).T]
+        some, at, step = np.zeros(len(bucket), bool), np.arange(len(bucket)), 1
+        while len(at := at[at + step < len(bucket)]):
+            at = at[(bucket[at] == bucket[at + step]) & (n[at + step] * percent <= n[at] * 100)]
+            one = at[~(some[at] & some[at + step])]
+            gap = sum((np.bitwise_count(s[one] ^ s[one + step]).astype(np.int64) for s in short), np.zeros(len(one), np.int64))
+            one = one[may_link(n[one], n[one + step], gap, percent)]
+            both = np.minimum(wide[one], wide[one + step])
+            for w in np.unique(both):
+                place, rows = held[int(w)]
+                k = one[both == w]
+                gap = np.bitwise_count(rows[place[k]] ^ rows[place[k + step]]).sum(axis=1, dtype=np.int64)
+                k = k[may_link(n[k], n[k + step], gap, percent)]
+                some[k] = some[k + step] = True
+            step += 1
+        return t.select(["bucket", "node"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            bucket = held.column("bucket").to_numpy()
+            # The last bucket may go on in the next batch.
+            whole = int(np.argmax(bucket == bucket[-1])) if len(bucket) else 0
+            if whole:
+                yield from marked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from marked(held)
+
+    return run
+
+
+def hopeful(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows `(bucket, node)` of `shared (bucket, node, many)` that sketches allow to link with a row of their bucket.
+
+    Most sets that share a block share a passage and little else.  They go here, before any pair is made, so
+    sketches are sent once for each row of a bucket.  Buckets of more than `LOT` sets are left as they are.
+    """
+    sketch = classes.select("node", "n", "sketch").mapInArrow(_middle, "node long, n long, middle binary")
+    some = shared.where(f"many <= {LOT}").select("bucket", "node").join(sketch, "node")
+    some = some.repartition("bucket").sortWithinPartitions("bucket", "n").select("bucket", "node", "n", "middle")
+    some = some.mapInArrow(_hopeful(percent), "bucket long, node long")
+    return some.union(shared.where(f"many > {LOT}").select("bucket", "node"))
+
+
 def small_pairs(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """`(a, b)`, the pairs of different components in groups `left (grp, node, comp)` of a few sets that may link."""
     rows = left.join(classes.select("node", "n", *WORDS), "node")
@@ -296,18 +376,18 @@ def similarity_components(
     members = scratch.save(rows.select("id", "n_shingles", "digest"), "members")
     scratch.drop("rows")
     keys = classes.select("node", F.explode("keys").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
-    left = scratch.save(keys.join(shared.select("bucket", "centre"), "bucket"), "shared")
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = scratch.save(keys.join(shared, "bucket"), "shared")
     classes = scratch.save(classes.drop("keys"), "sketches")
     scratch.drop("classes")
+    left = scratch.save(hopeful(shared, classes, percent), "hopeful")
+    scratch.drop("shared")
 
     def settle(pairs: DataFrame, name: str) -> DataFrame:
         """`(a, b, linked)` of the pairs that the sketches let pass."""
         passed = scratch.save(screen(pairs, classes, percent).distinct(), f"passed-{name}")
         ids = scratch.save(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
-        # Eight bytes for each id: up to `BROADCAST` of them are sent to all tasks, more are joined by shuffle.
-        few = ids.limit(BROADCAST + 1).count() <= BROADCAST
-        needed = scratch.save(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").distinct(), f"texts-{name}")
+        needed = scratch.save(texts.join(sent(ids), "id", "left_semi").distinct(), f"texts-{name}")
         tried = scratch.save(confirm(passed, needed, width, percent).select("a", "b", "linked"), f"tried-{name}")
         scratch.drop(f"passed-{name}", f"ids-{name}", f"texts-{name}")
         return tried
@@ -321,7 +401,8 @@ def similarity_components(
     tried, comps = None, None
     for turn in range(rounds + 2):
         if turn == 0:
-            pairs = left.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+            centres = left.groupBy("bucket").agg(F.min("node").alias("centre"))
+            pairs = left.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         elif turn <= rounds:
             # The next centre: a set with many links, then any set, drawn by hash in each bucket.
             ends = tried.where("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
@@ -353,7 +434,7 @@ def similarity_components(
         now = now.withColumn("comp", F.coalesce("comp", "node"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         left = scratch.save(now.join(mixed.select("bucket"), "bucket"), f"open-{turn}")
-        scratch.drop("shared", f"open-{turn - 1}")
+        scratch.drop("hopeful", f"open-{turn - 1}")
         if left.isEmpty():
             break
     # Members of classes that are joined to others get the component of their class; all else is itself.

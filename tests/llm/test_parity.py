@@ -80,6 +80,25 @@ def test_families_of_one_template(spark, monkeypatch):
     assert 3 < len({c for _, _, c in got}) < 150
 
 
+@pytest.mark.parametrize("lot", [parity.LOT, 8])
+def test_sets_that_share_a_passage_make_no_pairs(spark, monkeypatch, lot):
+    """Texts with a passage in common agree in blocks; only those that may link are paired, whatever the size of the bucket."""
+    seen, screen, hopeful = [], parity.screen, parity.hopeful
+    monkeypatch.setattr(parity, "LOT", lot)
+    monkeypatch.setattr(parity, "screen", lambda pairs, *more: seen.append(pairs.count()) or screen(pairs, *more))
+    monkeypatch.setattr(parity, "hopeful", lambda shared, *more: hopeful(shared, *more) if seen.append(shared.count()) is None else None)
+    passage = [f"p{i}" for i in range(80)]
+    # Long and short ones: sketches of several widths.
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(120 if i % 3 else 700)] + passage)) for i in range(30)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, parity.similarity_components(docs, 85, width=4).collect()))
+    sets, low = four_word_components(rows, 85)
+    assert got == sorted((k, len(s), low[k]) for k, s in sets) and low[102] == 2
+    shared, first, *_ = seen
+    assert shared > 60 and (first < 12 or lot == 8)
+
+
 def four_word_components(rows, percent, width=4):
     sets = [(k, {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}) for k, w in ((k, t.split()) for k, t in rows)]
     low = {k: k for k, _ in sets}
