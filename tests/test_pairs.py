@@ -1,11 +1,15 @@
 """Documents, bigrams, vocabulary and co-occurrence against brute force."""
 
 import random
+import tracemalloc
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries as Q
 from wordloom import runtime
 from wordloom.operators import bigrams as B
 from wordloom.operators import cooccur as CO
@@ -260,3 +264,44 @@ def test_filters(spark):
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         D.decode_json_sections(broken, ["ingredients"]).collect()
     assert D.decode_json_sections(broken, ["ingredients"], strict=False).first().ingredients is None
+
+
+def test_counting_pairs_holds_few_copies():
+    """The pairs that are met are held in one array that is worked on in place, and packed numbers come back as they were."""
+    rng = np.random.default_rng(4)
+    words, row = rng.integers(0, 100, 100_000) << 20, np.repeat(np.arange(100), 1000)
+    at = np.tile(np.arange(1000), 100)
+    tracemalloc.start()
+    wi, wj, s = CO._counted(words, row, at, np.array([0, 6, 3, 2, 1, 1, 1, 1, 1], np.int32), False, 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * 8 * len(words)
+    want = Counter()
+    for k, weight in enumerate([6, 3, 2, 1, 1, 1, 1, 1], 1):
+        for a, b in zip(words.reshape(100, -1)[:, k:].ravel().tolist(), words.reshape(100, -1)[:, :-k].ravel().tolist()):
+            want[a, b] += weight
+    assert dict(zip(zip(wi.tolist(), wj.tolist()), s.tolist())) == want
+    for x in (wi, s, np.array([], np.int64), np.array([-5, 3, 1 << 50])):
+        assert np.array_equal(CO._wide(CO._narrow(x)), x)
+    assert np.array_equal(np.cumsum(CO._wide(CO._rising(wi))), wi)
+    # Steps of ordered numbers are small, so their upper bytes are alike.
+    assert len(zlib.compress(CO._rising(wi))) < len(zlib.compress(wi.astype(np.int32).tobytes())) / 2
+
+
+def test_words_are_written_and_not_persisted(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"red wine {k % 2}") for k in range(40)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = Q.encoded(spark, str(tmp_path))
+    plans = [docs, Q.QUERIES["vocab"](spark, str(tmp_path))]
+    assert docs.where("size(ids) >= 2").count() == 40
+    assert not any("InMemory" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
+def test_a_large_lookup_moves_its_words_once(spark, monkeypatch):
+    """Words that are replaced by their numbers are not carried along beside them."""
+    written, write = [], lookup.write_stage
+    monkeypatch.setattr(lookup, "write_stage", lambda rows: written.append(rows.columns) or write(rows))
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "doc_id int, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2)], "word string, word_id int")
+    assert sorted(map(tuple, CO.encode_documents(docs, vocab, max_rows=1).collect())) == [(1, [1, 2]), (2, [])]
+    assert written == [["doc_id", "_keys", "_chunk"]]
