@@ -14,7 +14,7 @@ from wordloom import runtime
 from wordloom.operators import bigrams as B
 from wordloom.operators import cooccur as CO
 from wordloom.operators import corpus as D
-from wordloom.operators import lookup
+from wordloom.operators import lookup, packed
 from wordloom.runtime import most_frequent, number_rows
 
 PAIR = "array<struct<token:string,pos:string>>"
@@ -282,10 +282,10 @@ def test_counting_pairs_holds_few_copies():
             want[a, b] += weight
     assert dict(zip(zip(wi.tolist(), wj.tolist()), s.tolist())) == want
     for x in (wi, s, np.array([], np.int64), np.array([-5, 3, 1 << 50])):
-        assert np.array_equal(CO._wide(CO._narrow(x)), x)
-    assert np.array_equal(np.cumsum(CO._wide(CO._rising(wi))), wi)
+        assert np.array_equal(packed.wide(packed.narrow(x)), x)
+    assert np.array_equal(np.cumsum(packed.wide(packed.rising(wi))), wi)
     # Steps of ordered numbers are small, so their upper bytes are alike.
-    assert len(zlib.compress(CO._rising(wi))) < len(zlib.compress(wi.astype(np.int32).tobytes())) / 2
+    assert len(zlib.compress(packed.rising(wi))) < len(zlib.compress(wi.astype(np.int32).tobytes())) / 2
 
 
 def test_words_are_written_and_not_persisted(spark, tmp_path):
