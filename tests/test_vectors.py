@@ -291,3 +291,19 @@ def test_glove_loss_takes_its_shards_in_turns(spark, pairs, monkeypatch):
     assert got.loss == pytest.approx(sum(cost(w[r.wi], c[r.wj], r.x) for r in rows))
     assert len(turns) > 2
     assert sorted(folder.iterdir()) == before
+
+
+@pytest.mark.parametrize("small", [256, 6])
+def test_neighbours_are_counted_in_turns(spark, monkeypatch, small):
+    """Pairs of different turns are added up; nulls, repeated rows and words that are alone stay as they are."""
+    monkeypatch.setattr(R, "PAIRS_AT_A_TIME", 30)
+    rng = random.Random(8)
+    rows = [(f"g{rng.randrange(12)}", rng.randrange(40)) for _ in range(110)] + [("alone", 99), ("alone", None), (None, 5), (None, 98)]
+    written, plain = [], R.write_stage
+    monkeypatch.setattr(R, "write_stage", lambda df: written.append(plain(df)) or written[-1])
+    got = {r.token: r.n for r in R.count_neighbours(spark.createDataFrame(rows + rows[:9], "grp string, token int"), small).collect()}
+    want = {t: set() for _, t in rows}
+    for g, t in rows:
+        want[t] |= {u for h, u in rows if g is not None and g == h and u != t and None not in (t, u)}
+    assert {t: n for t, n in got.items() if t is not None} == {t: len(near) for t, near in want.items() if t is not None}
+    assert len(written) > 1
