@@ -2,11 +2,13 @@
 
 import html
 import random
+import shutil
 from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries as Q
 from wordloom.functions import clean as C
 from wordloom.functions.stem import stem, stem_each, stem_vocabulary, stem_words
 from wordloom.functions.tagging import sentence_tagger, tag_word
@@ -151,3 +153,11 @@ def test_user_tagger(spark):
     upper = sentence_tagger(lambda tokens: [f"{t}{len(tokens)}" for t in tokens])
     got = [r.x for r in df.select(upper(F.col("s")).alias("x")).collect()]
     assert got == [[["a2", "b2"], ["c1"]], None]
+
+
+def test_stem_dictionary_reads_its_documents_once(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"red wine w{k} " + " ".join(f"{k}x{i}" for i in range(9))) for k in range(30)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["stem_dictionary"](spark, str(tmp_path))
+    shutil.rmtree(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.tokens.split()[:2] for r in got.collect()} == {k: ["der", "eniw"] for k in range(30)}
