@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from wordloom.functions import vectors as V
@@ -272,7 +273,7 @@ def test_glove_loss_keeps_no_copy_of_the_pairs(spark, pairs, monkeypatch):
 
 
 def test_glove_loss_takes_its_shards_in_turns(spark, pairs, monkeypatch):
-    """What is sent in a turn is small and packed, scratch tables go, and words without vectors on a side do not count."""
+    """What is sent in a turn is small and packed, scratch tables go, and words without parameters do not count."""
     monkeypatch.setattr(G, "PAIRS_PER_SHARD", 20)
     monkeypatch.setattr(G, "SHARDS_AT_A_TIME", 0.5)
     turns, plain = [], G._costs
@@ -282,15 +283,18 @@ def test_glove_loss_takes_its_shards_in_turns(spark, pairs, monkeypatch):
     rng = np.random.default_rng(3)
     ids = sorted({r[c] for r in pairs.select("wi", "wj").collect() for c in (0, 1)})
     w, c = ({i: rng.normal(size=5).tolist() for i in ids} for _ in range(2))
-    w[ids[0]] = c[ids[1]] = None
-    params = spark.createDataFrame([(i, w[i], c[i]) for i in ids[:-1]], "word_id long, vec array<double>, context_vec array<double>")
-    got = G.glove_loss(pairs, params).first()
-    rows = [r for r in pairs.collect() if r.wi != ids[0] and r.wj != ids[1] and ids[-1] not in (r.wi, r.wj)]
+    given = lambda: spark.createDataFrame([(i, w[i], c[i]) for i in ids[:-1]], "word_id long, vec array<double>, context_vec array<double>")
+    got = G.glove_loss(pairs, given()).first()
+    rows = [r for r in pairs.where("x > 0").collect() if ids[-1] not in (r.wi, r.wj)]
     cost = lambda a, b, x: min(1.0, (x / 100) ** 0.75) * (np.dot(a[:-1], b[:-1]) + a[-1] + b[-1] - np.log(x)) ** 2
     assert got.n_pairs == len(rows) > 0
     assert got.loss == pytest.approx(sum(cost(w[r.wi], c[r.wj], r.x) for r in rows))
     assert len(turns) > 2
     assert sorted(folder.iterdir()) == before
+    for bad in (None, [1.0, 2.0]):
+        c[rows[0].wj] = bad
+        with pytest.raises(PythonException):
+            G.glove_loss(pairs, given())
 
 
 @pytest.mark.parametrize("small", [256, 6])
