@@ -294,7 +294,7 @@ def test_words_are_written_and_not_persisted(spark, tmp_path):
     docs = Q.encoded(spark, str(tmp_path))
     plans = [docs, Q.QUERIES["vocab"](spark, str(tmp_path))]
     assert docs.where("size(ids) >= 2").count() == 40
-    assert not any("InMemory" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+    assert not any("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
 
 
 def test_a_large_lookup_moves_its_words_once(spark, monkeypatch):
